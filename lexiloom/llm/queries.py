@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiloom.llm import bpe, chat, mixing, warc
+from lexiloom.llm import bpe, chat, minhash, mixing, warc
 from lexiloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,6 +43,11 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+@query
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.group(table(spark, sf_dir, "documents"))
+
+
 @query
 def op5_packaged_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     archives = warc.write(table(spark, sf_dir, "pages"))
