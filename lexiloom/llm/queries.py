@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiloom.llm import bpe, chat, hnsw, minhash, mixing, pii, quality, substrings, warc
+from lexiloom.llm import bpe, chat, hnsw, minhash, mixing, pii, quality, sketches, substrings, warc
 from lexiloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -59,6 +59,11 @@ def op5_packaged_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(archives, payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+@query
+def op6_iblt_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketches.compare(sketches.edited(table(spark, sf_dir, "documents")))
+
+
 @query
 def op7_embedding_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hnsw.group(table(spark, sf_dir, "embeddings"))
