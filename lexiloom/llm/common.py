@@ -31,9 +31,11 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialises ``df`` in the shared folder and cuts its lineage."""
+    """Materialises ``df`` in the shared folder and cuts its lineage; shuffle files that only it needed can go."""
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    held = df.checkpoint(eager=True)
+    release(df.sparkSession)
+    return held
 
 
 def stage(df: DataFrame, tag: str) -> DataFrame:

@@ -8,9 +8,9 @@ exact Jaccard of full shingle sets.
 
 Documents with equal sets are one vertex, so copies never meet each other. In each band's bucket
 all members are first compared with one hub. Where a bucket then still holds several components,
-pairs across components are compared if it is small; a large one gets a second hub, and what is
-still apart is compared block by block with the rest of its group, so no link between components
-is lost and no pairs are emitted.
+pairs across components are compared if it is small; in a large one what is apart is compared
+block by block with the rest of its group, so no link between components is lost and no pairs
+are emitted.
 
 Defined cases: null and blank texts have no shingles and link with nothing; rows without an id
 keep a null component and are never kept; rows that share an id are one vertex; repeated rows
@@ -190,25 +190,18 @@ def group(
     first = buckets.filter("vertex != hub").select(F.col("vertex").alias("a"), F.col("hub").alias("b")).distinct()
     links = cut(confirm(first, sets, percent))
     found = cut(components(links))
-    # buckets that still hold several components: small ones by pairs, large ones by a second hub and then by blocks
-    for step in ("hub", "rest"):
-        placed = buckets.join(found.select("vertex", F.col("component").alias("label")), "vertex", "left").withColumn("label", F.coalesce("label", "vertex"))
-        split = placed.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("m"), F.min(F.struct(F.xxhash64("vertex").alias("h"), "vertex", "label")).alias("hub2")).filter("low != high")
-        if step == "hub":
-            hubs = split.filter(F.col("m") > small).select("band", F.col("hub2.vertex").alias("b"), F.col("hub2.label").alias("lb"))
-            pairs = placed.drop("hub").withColumnRenamed("vertex", "a").join(hubs, "band").filter("a != b and label != lb").select("a", "b").distinct()
-            more = confirm(pairs, sets, percent)
-        else:
-            open_ = cut(placed.join(split.select("band", "m"), "band"))
-            few = open_.filter(F.col("m") <= small)
-            x, y = few.select("band", F.col("vertex").alias("a"), F.col("label").alias("la")), few.select("band", F.col("vertex").alias("b"), F.col("label").alias("lb"))
-            pairs = x.join(y, "band").filter("a > b and la != lb").select("a", "b").distinct().join(first, ["a", "b"], "left_anti")
-            many = open_.filter(F.col("m") > small)
-            tied = components(many.select(F.col("vertex").alias("a"), F.col("hub").alias("b")))
-            members = many.select("vertex", "label").distinct().join(tied.withColumnRenamed("component", "g"), "vertex")
-            more = confirm(pairs, sets, percent).union(compare_blocks(members, sets, percent, block))
-        links = cut(links.union(more))
-        found = cut(components(links))
+    # buckets that still hold several components: small ones by pairs, large ones by blocks
+    placed = buckets.join(found.select("vertex", F.col("component").alias("label")), "vertex", "left").withColumn("label", F.coalesce("label", "vertex"))
+    split = placed.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("m")).filter("low != high")
+    open_ = cut(placed.join(split.select("band", "m"), "band"))
+    few = open_.filter(F.col("m") <= small)
+    x, y = few.select("band", F.col("vertex").alias("a"), F.col("label").alias("la")), few.select("band", F.col("vertex").alias("b"), F.col("label").alias("lb"))
+    pairs = x.join(y, "band").filter("a > b and la != lb").select("a", "b").distinct().join(first, ["a", "b"], "left_anti")
+    many = open_.filter(F.col("m") > small)
+    tied = components(many.select(F.col("vertex").alias("a"), F.col("hub").alias("b")))
+    members = many.select("vertex", "label").distinct().join(tied.withColumnRenamed("component", "g"), "vertex")
+    more = confirm(pairs, sets, percent).union(compare_blocks(members, sets, percent, block))
+    found = components(found.select(F.col("vertex").alias("a"), F.col("component").alias("b")).union(more))
     labelled = classes.join(found, "vertex", "left").select("digest", F.coalesce("component", "vertex").alias("component"))
     out = sketches.select("doc_id", "n_shingles", "digest").join(labelled, "digest", "left")
     component = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component"))
