@@ -4,16 +4,16 @@ A document's units are its lines, cut into paragraphs of at most ``UNIT`` code p
 line's start; its set holds their 64-bit digests. Each digest is added to one cell in each of
 three parts of a table; a cell keeps a count, the xor of its digests and the xor of their checks.
 The fingerprint is such a table of fixed size. Tables of two texts subtract cell by cell, common
-digests vanish, and peeling cells that hold a single digest recovers those that differ. If the
-fixed table is too small for the difference, the digests are dealt into shards by their low bits
-and a table per shard is peeled, with more cells for the shards that still fail.
+digests vanish, and peeling cells that hold a single digest recovers those that differ. To compare
+two texts both get tables in proportion to their digests; where peeling gets stuck, the pair goes
+again with larger tables.
 
 Everything is DataFrame expressions. Texts are joined to their neighbours by two joins on the id.
 
 Defined cases: a null text is empty, an empty one has no units; two texts without units are alike
 (1.0); a line's repeated paragraphs count once; rows that share an id share the next document, the
 one with the next lower id (of rows with that id, the least text start, then the least digests);
-null ids stand after all others; a single document is its own next; tables may be empty; other
+null ids stand after all others (as the least id); a single document is its own next; tables may be empty; other
 columns are ignored.
 """
 
@@ -22,12 +22,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexiloom.llm.common import cut
+from lexiloom.llm.common import cut, stage
 
-UNIT = 160
+UNIT = 96
 ROOT = 12
-SIZES = (24, 72, 240, 960)
-CELL = "struct<n:int,k:bigint,c:bigint>"
+#: Cells of a pair's tables per digest of both sets, attempt by attempt.
+SIZES = (2.1, 9.0, 36.0)
 LEAST = -(1 << 63)
 
 
@@ -41,10 +41,9 @@ def check(key: Column) -> Column:
     return F.xxhash64(key, F.lit(1))
 
 
-def slot(key: Column, part: Column, cells: int) -> Column:
-    """The cell of a digest in part 0, 1 or 2 of a table."""
-    third = cells // 3
-    return (part * third + F.pmod(F.xxhash64(key, part), F.lit(third))).cast("int")
+def slot(key: Column, part: Column, third: Column, seed: Column) -> Column:
+    """The cell of a digest in part 0, 1 or 2 of a table with ``third`` cells in each."""
+    return F.pmod(F.xxhash64(key, part, seed), third).cast("int")
 
 
 def zero() -> Column:
@@ -52,64 +51,74 @@ def zero() -> Column:
 
 
 def build(keys: Column, cells: int) -> Column:
-    """The table of a set of digests."""
-    placed = F.transform(keys, lambda k: F.struct(k.alias("k"), check(k).alias("c"), *[slot(k, F.lit(j), cells).alias(f"s{j}") for j in range(3)]))
+    """The table of a set of digests, part by part."""
+    third = cells // 3
+    place = lambda k, j: j * third + slot(k, F.lit(j), F.lit(third), F.lit(-1))
+    placed = F.transform(keys, lambda k: F.struct(k.alias("k"), check(k).alias("c"), *[place(k, j).alias(f"s{j}") for j in range(3)]))
 
-    def cell(placed: Column, i: Column) -> Column:
-        mine = F.filter(placed, lambda p: (p["s0"] == i) | (p["s1"] == i) | (p["s2"] == i))
+    def cell(rows: Column, i: int) -> Column:
+        mine = F.filter(rows, lambda p: p[f"s{i // third}"] == i)
         return F.aggregate(mine, zero(), lambda a, p: F.struct((a["n"] + 1).alias("n"), a["k"].bitwiseXOR(p["k"]).alias("k"), a["c"].bitwiseXOR(p["c"]).alias("c")))
 
-    table = F.transform(F.array(placed), lambda ps: F.transform(F.sequence(F.lit(0), F.lit(cells - 1)), lambda i: cell(ps, i)))
-    return F.element_at(table, 1)
-
-
-def subtract(a: Column, b: Column) -> Column:
-    return F.zip_with(a, b, lambda x, y: F.struct((x["n"] - y["n"]).alias("n"), x["k"].bitwiseXOR(y["k"]).alias("k"), x["c"].bitwiseXOR(y["c"]).alias("c")))
+    return F.element_at(F.transform(F.array(placed), lambda rows: F.array(*[cell(rows, i) for i in range(cells)])), 1)
 
 
-def peel(table: Column, cells: int, rounds: int = 5) -> Column:
-    """The digests in a difference of tables, each with +1 or -1 by the side that has it; null if some can't be freed.
+def peel(cells: DataFrame, steps: int) -> DataFrame:
+    """Rows (rid, pair, found, stuck) from the cells of differences: (rid, pair, third, part, slot, n, k, c).
 
-    A step frees the single digests of one part, in which each digest has one cell only.
+    Each step looks at one part, in which a digest has one cell only: a cell with a single digest
+    takes it out of all its cells and adds to the row of what was found (part -1). All steps group
+    by keys that begin with rid, so they run where the cells are, without a shuffle.
     """
-    third = cells // 3
-
-    def step(state: Column, r: Column) -> Column:
-        part = r % 3
-        pure = F.filter(F.slice(state["t"], part * third + 1, F.lit(third)), lambda x: (F.abs(x["n"]) == 1) & (x["c"] == check(x["k"])))
-        placed = F.transform(pure, lambda x: F.struct(x["n"].alias("n"), x["k"].alias("k"), x["c"].alias("c"), *[slot(x["k"], F.lit(j), cells).alias(f"s{j}") for j in range(3)]))
-
-        def remove(ps: Column) -> Column:
-            def one(x: Column, i: Column) -> Column:
-                mine = F.filter(ps, lambda p: (p["s0"] == i) | (p["s1"] == i) | (p["s2"] == i))
-                return F.aggregate(mine, x, lambda a, p: F.struct((a["n"] - p["n"]).alias("n"), a["k"].bitwiseXOR(p["k"]).alias("k"), a["c"].bitwiseXOR(p["c"]).alias("c")))
-
-            freed = F.transform(ps, lambda p: F.struct(p["n"].alias("n"), p["k"].alias("k")))
-            return F.when(F.size(ps) == 0, state).otherwise(F.struct(F.transform(state["t"], one).alias("t"), F.concat(state["out"], freed).alias("out")))
-
-        return F.element_at(F.transform(F.array(placed), remove), 1)
-
-    start = F.struct(table.alias("t"), F.array().cast("array<struct<n:int,k:bigint>>").alias("out"))
-    clean = lambda s: F.forall(s["t"], lambda x: (x["n"] == 0) & (x["k"] == 0))
-    return F.aggregate(F.sequence(F.lit(0), F.lit(3 * rounds - 1)), start, step, lambda s: F.when(clean(s), s["out"]))
-
-
-def _count(found: Column) -> Column:
-    """The size of an array, null if it is null."""
-    return F.array_size(found)
-
+    same = ["rid", "pair", "third", "part", "slot"]
+    c = F.col
+    for step in range(steps):
+        part = step % 3
+        pure = (c("part") == part) & (F.abs(c("n")) == 1) & (c("c") == check(c("k")))
+        row = lambda p, slot_, n, k, x: F.struct(p.alias("part"), slot_.alias("slot"), n.alias("n"), k.alias("k"), x.alias("c"))
+        out = [row(F.lit(j), slot(c("k"), F.lit(j), c("third"), c("seed")), -c("n"), c("k"), c("c")) for j in range(3)]
+        nil = F.lit(0).cast("long")
+        keep = row(c("part"), c("slot"), c("n"), c("k"), c("c"))
+        freed = F.array(keep, *out, row(F.lit(-1), F.lit(-1), F.lit(1).cast("long"), nil, nil))
+        moved = cells.select("rid", "pair", "third", "seed", F.explode(F.when(pure, freed).otherwise(F.array(keep))).alias("r"))
+        moved = moved.select("rid", "pair", "third", "seed", "r.part", "r.slot", "r.n", "r.k", "r.c")
+        cells = moved.groupBy(*same, "seed").agg(F.sum("n").alias("n"), F.bit_xor("k").alias("k"), F.bit_xor("c").alias("c")).filter("n != 0 or k != 0")
+    return cells.groupBy("rid", "pair").agg(
+        F.sum(F.when(c("part") < 0, c("n")).otherwise(0)).alias("found"), F.sum(F.when(c("part") >= 0, 1).otherwise(0)).alias("stuck")
+    )
+
+
+def differences(sets: DataFrame, cells_per_digest: float, seed: int, steps: int = 21) -> DataFrame:
+    """Rows (rid, pair, found, stuck) for pairs of sets (rid, pair, a, b); no row where the sets are equal.
+
+    Both tables have the same size, in proportion to the pair's digests. Their cells are added with
+    opposite signs, which is the subtraction of the two tables.
+    """
+    third = (F.ceil((F.size("a") + F.size("b")) * (cells_per_digest / 3)) + 3).cast("int")
+    signed = lambda side, n: F.transform(side, lambda k: F.struct(k.alias("k"), F.lit(n).cast("long").alias("n")))
+    rows = sets.select("rid", "pair", third.alias("third"), F.explode(F.concat(signed("a", 1), signed("b", -1))).alias("d")).select("rid", "pair", "third", F.col("d.k").alias("k"), F.col("d.n").alias("n"))
+    rows = rows.withColumn("seed", F.lit(seed)).withColumn("c", check(F.col("k"))).withColumn("part", F.explode(F.array(*[F.lit(j) for j in range(3)])))
+    rows = rows.withColumn("slot", slot(F.col("k"), F.col("part"), F.col("third"), F.col("seed")))
+    cells = rows.groupBy("rid", "pair", "third", "part", "slot", "seed").agg(F.sum("n").alias("n"), F.bit_xor("k").alias("k"), F.bit_xor("c").alias("c")).filter("n != 0 or k != 0")
+    return peel(cells, steps)
 
-def difference(a: Column, b: Column, root_a: Column, root_b: Column) -> Column:
-    """How many digests differ between two sets: from the fixed tables, else shard by shard with growing tables."""
 
-    def of_shard(x: Column, y: Column) -> Column:
-        tries = [peel(subtract(build(x, c), build(y, c)), c, 5 if c < 100 else 9) for c in SIZES]
-        return _count(F.coalesce(*tries))
+def reconcile(sets: DataFrame, sizes: tuple[float, ...] = SIZES) -> DataFrame:
+    """Rows (rid, pair, differ): the recovered differences of pairs of sets (rid, pair, a, b) that differ.
 
-    shards = F.greatest(F.lit(1), F.ceil(F.greatest(F.size(a), F.size(b)) / 6.0).cast("int"))
-    dealt = lambda keys, s: F.filter(keys, lambda k: F.pmod(k, shards) == s)
-    sharded = F.aggregate(F.transform(F.sequence(F.lit(0), shards - 1), lambda s: of_shard(dealt(a, s), dealt(b, s))), F.lit(0), lambda t, n: t + n)
-    return F.coalesce(_count(peel(subtract(root_a, root_b), ROOT)), sharded)
+    Pairs whose tables can't be peeled go again with larger ones; should the largest fail too, the sets themselves are compared.
+    """
+    done = None
+    for k, size_ in enumerate(sizes):
+        got = cut(differences(sets.repartition("rid"), size_, k))
+        right = got.filter("stuck = 0").select("rid", "pair", F.col("found").alias("differ"))
+        done = right if done is None else done.union(right)
+        failed = got.filter("stuck > 0").select("rid", "pair")
+        if failed.isEmpty():
+            return done
+        sets = cut(sets.join(failed, ["rid", "pair"]))
+    direct = F.size(F.array_except("a", "b")) + F.size(F.array_except("b", "a"))
+    return done.union(sets.select("rid", "pair", direct.cast("long")))
 
 
 def likeness(a: Column, b: Column, differ: Column) -> Column:
@@ -158,12 +167,14 @@ def edited(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def compare(rows: DataFrame) -> DataFrame:
     """Fingerprints and likenesses of rows (doc_id, text, edited, next_units)."""
-    rows = rows.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), units(F.col("text")).alias("u"), units(F.col("edited")).alias("e"), F.col("next_units").alias("x"))
-    rows = rows.select("*", build(F.col("u"), ROOT).alias("tu"), build(F.col("e"), ROOT).alias("te"), build(F.col("x"), ROOT).alias("tx"))
+    sized = rows.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), units(F.col("text")).alias("u"), units(F.col("edited")).alias("e"), F.col("next_units").alias("x"))
     c = F.col
-    return rows.select(
-        "doc_id", "n_chars", "edited_sha256",
-        written(c("tu"), c("u")).alias("fingerprint"), written(c("te"), c("e")).alias("edited_fingerprint"),
-        likeness(c("u"), c("e"), difference(c("u"), c("e"), c("tu"), c("te"))).alias("near_edited"),
-        likeness(c("u"), c("x"), difference(c("u"), c("x"), c("tu"), c("tx"))).alias("near_next"),
-    )
+    prints = [written(build(c(k), ROOT), c(k)).alias(name) for k, name in (("u", "fingerprint"), ("e", "edited_fingerprint"))]
+    held = stage(sized.select(F.monotonically_increasing_id().alias("rid"), "*", *prints), "fingerprints")
+    pairs = F.explode(F.array(F.struct(F.lit(0).alias("pair"), c("e").alias("b")), F.struct(F.lit(1).alias("pair"), c("x").alias("b"))))
+    sets = held.select("rid", c("u").alias("a"), pairs.alias("p")).select("rid", "p.pair", "a", "p.b").filter("size(a) + size(b) > 0")
+    found = reconcile(sets).groupBy("rid").agg(*[F.coalesce(F.sum(F.when(c("pair") == k, c("differ"))), F.lit(0)).alias(name) for k, name in ((0, "to_edited"), (1, "to_next"))])
+    near = lambda other, differ: likeness(c("u"), c(other), F.coalesce(differ, F.lit(0)))
+    return held.join(found, "rid", "left").select(
+        "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", near("e", c("to_edited")).alias("near_edited"), near("x", c("to_next")).alias("near_next")
+    )
