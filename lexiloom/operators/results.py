@@ -1,0 +1,97 @@
+"""Tables across tokenizers: merging, leaderboards, charts."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+
+def merged(results: DataFrame, key: str = "tokenizer", order: str = "file_idx") -> DataFrame:
+    """The last file's row of each key."""
+    last = results.groupBy(key).agg(F.max(order).alias("__last"))
+    return results.join(last, key).filter(F.col(order) == F.col("__last")).drop("__last")
+
+
+def still_failed(failed: DataFrame, results: DataFrame, key: str = "tokenizer") -> DataFrame:
+    """Failures of keys that succeeded in no file."""
+    return failed.join(results.select(key).distinct(), key, "left_anti")
+
+
+def require_keys(results: DataFrame, wanted: DataFrame, key: str = "tokenizer") -> DataFrame:
+    """Results of the wanted keys; an error names those that are missing."""
+    missing = [r[0] for r in wanted.join(results, key, "left_anti").select(key).limit(20).collect()]
+    if missing:
+        raise ValueError(f"no results for {', '.join(map(str, missing))}")
+    return results.join(wanted, key, "left_semi")
+
+
+def require_value(results: DataFrame, column: str, key: str = "tokenizer") -> DataFrame:
+    bad = results.filter(F.col(column).isNull()).select(key).limit(1).collect()
+    if bad:
+        raise ValueError(f"{bad[0][0]} has no {column}")
+    return results
+
+
+def backfilled(results: DataFrame, column: str, value: Column) -> DataFrame:
+    return results.withColumn(column, F.coalesce(F.col(column), value))
+
+
+def leaderboard(results: DataFrame, value: str = "spread", key: str = "tokenizer") -> DataFrame:
+    """Adds ``idx``, the place by value from 0 (ties by name)."""
+    return results.withColumn("idx", F.row_number().over(Window.orderBy(value, key)) - 1)
+
+
+def family_layout(results: DataFrame, family: str, value: str, key: str = "tokenizer", gap: int = 1) -> DataFrame:
+    """Chart positions with families side by side, a gap between them."""
+    inner = F.row_number().over(Window.partitionBy(family).orderBy(value, key)) - 1
+    sizes = results.groupBy(family).agg(F.count(F.lit(1)).alias("__n"), F.min(value).alias("__best"))
+    before = Window.orderBy("__best", family).rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(family, F.coalesce(F.sum(F.col("__n") + gap).over(before), F.lit(0)).alias("__start"))
+    return results.withColumn("__i", inner).join(starts, family).withColumn("position", F.col("__start") + F.col("__i")).drop("__i", "__start")
+
+
+def family_of(name: Column) -> Column:
+    """The family of a tokenizer by its name; the first rule that fits."""
+    low = F.lower(name)
+    rules = [("parity", "parity"), ("super", "bpe"), ("bpe", "bpe"), ("byte", "byte"), ("char", "char"), ("word", "word")]
+    out = F.lit("other")
+    for part, family in reversed(rules):
+        out = F.when(low.contains(part), family).otherwise(out)
+    return out
+
+
+def heat_cells(parities: DataFrame, n: int, lang: str = "lang", value: str = "parity") -> DataFrame:
+    """Cells of the n languages whose greatest parity is highest, with a colour bucket of 40."""
+    worst = parities.groupBy(lang).agg(F.max(value).alias("__m")).orderBy(F.col("__m").desc(), lang).limit(n).select(lang)
+    rows = parities.join(worst, lang, "left_semi")
+    top = Window.partitionBy()
+    span = F.sqrt(F.greatest(F.max(value).over(top) - 1, F.lit(0.0)))
+    bucket = F.when(span > 0, F.least(F.lit(39), F.floor(F.sqrt(F.greatest(F.col(value) - 1, F.lit(0.0))) / span * 40))).otherwise(0)
+    return rows.withColumn("bucket", bucket.cast("long"))
+
+
+def resource_levels(parities: DataFrame, levels: DataFrame, value: str = "parity") -> DataFrame:
+    """Mean per tokenizer and level, and per level over all tokenizers (null tokenizer)."""
+    rows = parities.join(levels, "lang")
+    return rows.groupingSets([[F.col("tokenizer"), F.col("level")], [F.col("level")]], F.col("tokenizer"), F.col("level")).agg(F.avg(value).alias("mean_parity"), F.count(F.lit(1)).alias("n"))
+
+
+def api_cost(parities: DataFrame, base_fertility: Column, words: float, price: float) -> DataFrame:
+    """Cost of a text of so many English words in each language at a price per million tokens."""
+    return parities.withColumn("cost", base_fertility * words * F.col("parity") * price / 1e6)
+
+
+def progress(tasks: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
+    """Per cent of tasks that have a count; the rest is what a resumed run would do."""
+    marked = tasks.select(*keys).join(done.select(*keys).distinct().withColumn("__d", F.lit(1)), keys, "left")
+    return marked.agg((100.0 * F.count("__d") / F.count(F.lit(1))).alias("percent"))
+
+
+def remaining(tasks: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
+    return tasks.join(done, keys, "left_anti")
+
+
+def as_metrics(df: DataFrame, key: str, prefix: str, values: list[str]) -> DataFrame:
+    """Long form (metric, value) with names such as prefix/value/key."""
+    rows = df.select(key, *[F.col(v).cast("double").alias(v) for v in values]).unpivot([key], values, "__v", "value")
+    return rows.select(F.concat_ws("/", F.lit(prefix), "__v", key).alias("metric"), "value")
