@@ -39,10 +39,11 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def stage(df: DataFrame, tag: str) -> DataFrame:
-    """Writes ``df`` as a Parquet table in the shared folder and reads it back."""
+    """Writes ``df`` as a Parquet table in the shared folder and reads it back; shuffle files that only it needed can go."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lexiloom/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    release(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 

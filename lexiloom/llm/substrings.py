@@ -202,12 +202,14 @@ def remove_repeats(documents: DataFrame, width: int = 35, id_col: str = "doc_id"
     lists = named.join(twice, "symbol").groupBy("key").agg(F.collect_list("symbol").alias("symbols"))
     wanted = reps.select("key", "copies", "loose").join(lists, "key", "left").filter("loose or symbols is not null")
     wanted = cut(wanted.select("key", "copies", F.coalesce("symbols", F.array().cast("array<long>")).alias("symbols")))
+    del reps, named, twice, lists, long
     text = F.coalesce(F.col(text_col), F.lit(""))
     keyed = documents.select(F.xxhash64(F.col(id_col), text).alias("key"), text.alias("text"))
     joined = keyed.join(wanted, "key").withColumn("i", F.row_number().over(Window.partitionBy("key").orderBy("copies"))).filter("i = 1").drop("i")
     texts = stage(joined, "texts")
+    del keyed, joined, wanted
     seen = open_windows(texts, width)
-    again = seen.groupBy("window").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("window")
+    again = cut(seen.groupBy("window").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("window"))
     single = texts.filter("copies = 1")
     places = open_windows(single, width).join(again, "window").groupBy("key").agg(F.collect_list("place").alias("places"))
     left = without(single.select("key", "text").join(places, "key"), width)
