@@ -51,12 +51,10 @@ def _pair_groups(df: DataFrame, lang_a: str, a: str, lang_b: str, b: str) -> Dat
 
 
 def lines(spark: SparkSession, path: str | list[str], glob: str | None = None) -> DataFrame:
-    """Rows (file, line, value): a file's lines in their order, one task per file."""
-    read = spark.read.option("wholetext", True)
-    if glob:
-        read = read.option("pathGlobFilter", glob)
-    whole = read.text(path).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\n")).alias("line", "value"))
-    return whole.withColumn("value", F.regexp_replace("value", "\r$", ""))
+    """Rows (file, line, value); ``line`` orders a file's lines, which are read in splits."""
+    read = spark.read.option("pathGlobFilter", glob) if glob else spark.read
+    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    return read.text(path).select(F.col("_metadata.file_path").alias("file"), place.alias("line"), "value")
 
 
 def _stem() -> Column:
@@ -124,11 +122,10 @@ def csv_pairs(spark: SparkSession, path: str) -> DataFrame:
 @reader
 def line_pairs(spark: SparkSession, path_a: str, path_b: str, lang_a: str, lang_b: str) -> DataFrame:
     """Two files whose lines belong together; different line counts are an error, empty sides are left out."""
-    a, b = (lines(spark, p).select("line", F.col("value").alias(n)) for p, n in ((path_a, "a"), (path_b, "b")))
-    counts = [x.agg(F.max(F.when(F.col(n) != "", F.col("line"))).alias("m")).first()["m"] for x, n in ((a, "a"), (b, "b"))]
-    if counts[0] != counts[1]:
+    a, b = (_numbered(lines(spark, p).select("line", F.col("value").alias(n)), "line").drop("line") for p, n in ((path_a, "a"), (path_b, "b")))
+    if a.count() != b.count():
         raise ValueError(f"{path_a} and {path_b} have different numbers of lines")
-    rows = _present(a.join(b, "line"), "a", "b").select(F.col("line").cast("long").alias("group_id"), F.lit(lang_a).alias("la"), "a", F.lit(lang_b).alias("lb"), "b")
+    rows = _present(a.join(b, "group_id"), "a", "b").select("group_id", F.lit(lang_a).alias("la"), "a", F.lit(lang_b).alias("lb"), "b")
     return _pair_groups(rows, "la", "a", "lb", "b")
 
 
@@ -247,5 +244,5 @@ def by_file_name(files: DataFrame, wanted: DataFrame, name: str = "name") -> tup
 
 def read_results(spark: SparkSession, path: str) -> DataFrame:
     """Rows (tokenizer, result) of JSON objects {tokenizer: {...}}, without the list of failures."""
-    rows = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file"), F.from_json("value", "map<string,string>").alias("m"))
+    rows = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.from_json("value", "map<string,string>").alias("m"))
     return rows.select("file", F.explode("m").alias("tokenizer", "result")).filter("tokenizer != '_failed' and startswith(result, '{')")
