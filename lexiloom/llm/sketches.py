@@ -109,8 +109,10 @@ def reconcile(sets: DataFrame, sizes: tuple[float, ...] = SIZES) -> DataFrame:
     Pairs whose tables can't be peeled go again with larger ones; should the largest fail too, the sets themselves are compared.
     """
     done = None
+    # a row of a set becomes several cells, so partitions are smaller than a shuffle's and no table of cells spills
+    parts = 6 * int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     for k, size_ in enumerate(sizes):
-        got = cut(differences(sets.repartition("rid"), size_, k))
+        got = cut(differences(sets.repartition(parts, "rid"), size_, k))
         right = got.filter("stuck = 0").select("rid", "pair", F.col("found").alias("differ"))
         done = right if done is None else done.union(right)
         failed = got.filter("stuck > 0").select("rid", "pair")
@@ -169,12 +171,12 @@ def compare(rows: DataFrame) -> DataFrame:
     """Fingerprints and likenesses of rows (doc_id, text, edited, next_units)."""
     sized = rows.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), units(F.col("text")).alias("u"), units(F.col("edited")).alias("e"), F.col("next_units").alias("x"))
     c = F.col
+    held = stage(sized.select(F.monotonically_increasing_id().alias("rid"), "*"), "units")
     prints = [written(build(c(k), ROOT), c(k)).alias(name) for k, name in (("u", "fingerprint"), ("e", "edited_fingerprint"))]
-    held = stage(sized.select(F.monotonically_increasing_id().alias("rid"), "*", *prints), "fingerprints")
     pairs = F.explode(F.array(F.struct(F.lit(0).alias("pair"), c("e").alias("b")), F.struct(F.lit(1).alias("pair"), c("x").alias("b"))))
     sets = held.select("rid", c("u").alias("a"), pairs.alias("p")).select("rid", "p.pair", "a", "p.b").filter("size(a) + size(b) > 0")
     found = reconcile(sets).groupBy("rid").agg(*[F.coalesce(F.sum(F.when(c("pair") == k, c("differ"))), F.lit(0)).alias(name) for k, name in ((0, "to_edited"), (1, "to_next"))])
     near = lambda other, differ: likeness(c("u"), c(other), F.coalesce(differ, F.lit(0)))
     return held.join(found, "rid", "left").select(
-        "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", near("e", c("to_edited")).alias("near_edited"), near("x", c("to_next")).alias("near_next")
+        "doc_id", "n_chars", "edited_sha256", *prints, near("e", c("to_edited")).alias("near_edited"), near("x", c("to_next")).alias("near_next")
     )
