@@ -27,7 +27,7 @@ from lexiloom.llm.common import cut, stage
 UNIT = 96
 ROOT = 12
 #: Cells of a pair's tables per digest of both sets, attempt by attempt.
-SIZES = (2.1, 9.0, 36.0)
+SIZES = (6.0, 18.0, 72.0)
 LEAST = -(1 << 63)
 
 
@@ -63,16 +63,25 @@ def build(keys: Column, cells: int) -> Column:
     return F.element_at(F.transform(F.array(placed), lambda rows: F.array(*[cell(rows, i) for i in range(cells)])), 1)
 
 
+def _parts(df: DataFrame) -> int:
+    """A row of a set becomes several cells, so there are more partitions than a shuffle's and no table of cells spills."""
+    return 6 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def peel(cells: DataFrame, steps: int) -> DataFrame:
     """Rows (rid, pair, found, stuck) from the cells of differences: (rid, pair, third, part, slot, n, k, c).
 
     Each step looks at one part, in which a digest has one cell only: a cell with a single digest
     takes it out of all its cells and adds to the row of what was found (part -1). All steps group
-    by keys that begin with rid, so they run where the cells are, without a shuffle.
+    by keys that begin with rid, so they run where the cells are. Each aggregate takes a page of
+    memory when its task starts, so after two steps, when few cells are left, the rest run as tasks of their own.
     """
+    parts = _parts(cells)
     same = ["rid", "pair", "third", "part", "slot"]
     c = F.col
     for step in range(steps):
+        if step == 2:
+            cells = cells.repartition(parts, "rid")
         part = step % 3
         pure = (c("part") == part) & (F.abs(c("n")) == 1) & (c("c") == check(c("k")))
         row = lambda p, slot_, n, k, x: F.struct(p.alias("part"), slot_.alias("slot"), n.alias("n"), k.alias("k"), x.alias("c"))
@@ -88,7 +97,7 @@ def peel(cells: DataFrame, steps: int) -> DataFrame:
     )
 
 
-def differences(sets: DataFrame, cells_per_digest: float, seed: int, steps: int = 21) -> DataFrame:
+def differences(sets: DataFrame, cells_per_digest: float, seed: int, steps: int = 6) -> DataFrame:
     """Rows (rid, pair, found, stuck) for pairs of sets (rid, pair, a, b); no row where the sets are equal.
 
     Both tables have the same size, in proportion to the pair's digests. Their cells are added with
@@ -109,10 +118,8 @@ def reconcile(sets: DataFrame, sizes: tuple[float, ...] = SIZES) -> DataFrame:
     Pairs whose tables can't be peeled go again with larger ones; should the largest fail too, the sets themselves are compared.
     """
     done = None
-    # a row of a set becomes several cells, so partitions are smaller than a shuffle's and no table of cells spills
-    parts = 6 * int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     for k, size_ in enumerate(sizes):
-        got = cut(differences(sets.repartition(parts, "rid"), size_, k))
+        got = cut(differences(sets.repartition(_parts(sets), "rid"), size_, k))
         right = got.filter("stuck = 0").select("rid", "pair", F.col("found").alias("differ"))
         done = right if done is None else done.union(right)
         failed = got.filter("stuck > 0").select("rid", "pair")
