@@ -84,3 +84,38 @@ def op9_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_pii_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(pii.find(table(spark, sf_dir, "documents")))
+
+
+_WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_REACH = """reach(v, u) AS (SELECT v, v FROM verts UNION SELECT r.v, l.b FROM reach r JOIN links l ON l.a = r.u),
+ comp AS (SELECT v, min(u) AS component_id FROM reach GROUP BY v)"""
+
+ORACLE_SQL["op4_near_duplicates"] = f"""WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format(f"coalesce({_LOWER}, '')")} AS ws FROM documents),
+ s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 4 THEN list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i+3], ' ')) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE []::VARCHAR[] END) AS g FROM w),
+ n AS (SELECT w.doc_id, count(g) AS n FROM w LEFT JOIN s USING (doc_id) GROUP BY w.doc_id),
+ c AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS i FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL),
+ verts AS (SELECT doc_id AS v FROM documents),
+ links AS (SELECT a, b FROM c JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * i >= 80 * (na.n + nb.n - i)), {_REACH}
+SELECT doc_id, n AS n_shingles, component_id, doc_id = component_id AS kept FROM n JOIN comp ON v = doc_id"""
+
+ORACLE_SQL["op5_packaged_warc"] = """WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS n, coalesce(html, '') AS h FROM pages),
+ k AS (SELECT *, CASE WHEN n >= 1000 THEN max(page_id) OVER (PARTITION BY h) ELSE page_id END AS keep FROM p)
+SELECT page_id, n AS payload_bytes, sha1(h) AS payload_digest, CASE WHEN keep = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN keep <> page_id THEN keep END AS refers_to FROM k"""
+
+ORACLE_SQL["op7_embedding_duplicates"] = f"""WITH RECURSIVE e AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings), verts AS (SELECT vec_id AS v FROM e),
+ links AS (SELECT p.vec_id AS a, q.vec_id AS b FROM e p JOIN e q ON p.vec_id <> q.vec_id AND list_cosine_similarity(p.x, q.x) >= 0.95), {_REACH}
+SELECT v AS vec_id, (SELECT count(*) FROM links WHERE a = v) AS n_links, component_id, v = component_id AS kept FROM comp"""
+
+ORACLE_SQL["op8_chat_format"] = r"""WITH c AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+ g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn) AS turns, coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '') AS loss,
+  sum(length(role) + 24 + length(regexp_replace(text, '([<\[])(\\*)(\|im_start\|>|\|im_end\|>|INST\]|/INST\]|s>|/s>)', '\1#\2\3', 'g')))::BIGINT AS formatted_chars FROM c GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM g"""
+
+ORACLE_SQL["op9_recompression"] = f"""WITH w AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS ws FROM documents),
+ x AS (SELECT doc_id, i, md5(array_to_string(ws[i:i+34], ' ')) AS h FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 33)) AS i FROM w WHERE len(ws) >= 35)),
+ r AS (SELECT doc_id, i FROM x WHERE h IN (SELECT h FROM x GROUP BY h HAVING count(*) > 1)),
+ c AS (SELECT DISTINCT doc_id, i + k AS p FROM r, (SELECT unnest(range(35)) AS k)),
+ t AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS p FROM w),
+ k AS (SELECT t.doc_id, count(*) AS n, count(c.p) AS gone, coalesce(string_agg(word, ' ' ORDER BY t.p) FILTER (c.p IS NULL), '') AS kept FROM t LEFT JOIN c ON c.doc_id = t.doc_id AND c.p = t.p GROUP BY t.doc_id)
+SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(gone, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN k ON k.doc_id = w.doc_id"""
