@@ -65,7 +65,7 @@ def build(keys: Column, cells: int) -> Column:
 
 def _parts(df: DataFrame) -> int:
     """A row of a set becomes several cells, so there are more partitions than a shuffle's and no table of cells spills."""
-    return 6 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
 def peel(cells: DataFrame, steps: int) -> DataFrame:
@@ -76,12 +76,11 @@ def peel(cells: DataFrame, steps: int) -> DataFrame:
     by keys that begin with rid, so they run where the cells are. Each aggregate takes a page of
     memory when its task starts, so after two steps, when few cells are left, the rest run as tasks of their own.
     """
-    parts = _parts(cells)
     same = ["rid", "pair", "third", "part", "slot"]
     c = F.col
     for step in range(steps):
         if step == 2:
-            cells = cells.repartition(parts, "rid")
+            cells = cells.repartition("rid")
         part = step % 3
         pure = (c("part") == part) & (F.abs(c("n")) == 1) & (c("c") == check(c("k")))
         row = lambda p, slot_, n, k, x: F.struct(p.alias("part"), slot_.alias("slot"), n.alias("n"), k.alias("k"), x.alias("c"))
