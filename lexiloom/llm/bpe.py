@@ -28,8 +28,8 @@ from lexiloom.llm.common import blocks
 
 #: Pieces longer than this many bytes are encoded one by one.
 LONG_PIECE = 256
-#: Distinct pieces whose ids a Python worker keeps.
-CACHE_PIECES = 400_000
+#: Distinct pieces whose ids a task keeps.
+CACHE_PIECES = 200_000
 NONE = np.int64(1) << 40
 
 
@@ -111,7 +111,7 @@ class Vocabulary:
         made = np.flatnonzero((self.left != np.arange(size)) & (self.left >= 0))
         keys = self.left[made] * size + self.right[made]
         self.pair = Lookup(keys, made, NONE)
-        self.edges: dict[int, int] = {}
+        edges: dict[int, int] = {}
         ends = [-1]
         for token, rank in self.ranks.items():
             if self.left[rank] < 0:
@@ -119,15 +119,15 @@ class Vocabulary:
             node = 0
             for byte in token:
                 key = node << 8 | byte
-                if (nxt := self.edges.get(key)) is None:
-                    self.edges[key] = nxt = len(ends)
+                if (nxt := edges.get(key)) is None:
+                    edges[key] = nxt = len(ends)
                     ends.append(-1)
                 node = nxt
             ends[node] = rank
         self.ends = np.array(ends)
-        keys = np.fromiter(self.edges.keys(), np.int64, len(self.edges))
-        self.edge = Lookup(keys, np.fromiter(self.edges.values(), np.int64, len(self.edges)), -1)
-        self.first = np.array([self.edges.get(byte, 0) for byte in range(256)])
+        keys = np.fromiter(edges.keys(), np.int64, len(edges))
+        self.edge = Lookup(keys, np.fromiter(edges.values(), np.int64, len(edges)), -1)
+        self.first = np.array([edges.get(byte, 0) for byte in range(256)])
         self.compatible = lru_cache(200_000)(self._compatible)
         self.longest = max(map(len, self.ranks))
 
@@ -342,10 +342,14 @@ def encode(df: DataFrame, path: str, pattern: str, text_col: str = "text", id_co
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(raw, pattern, _table(split))
-        for part in blocks(batches, "text"):
-            ids, ends = encoder.encode(part.column("text").to_pylist())
-            lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(ids, pa.int32()))
-            yield pa.RecordBatch.from_arrays([*part.columns[:-1], lists], names=[*names, "ids"])
+        try:
+            for part in blocks(batches, "text"):
+                ids, ends = encoder.encode(part.column("text").to_pylist())
+                lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(ids, pa.int32()))
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], lists], names=[*names, "ids"])
+        finally:  # the worker lives on, for other operators too; it keeps the tables only
+            encoder.known = {}
+            encoder.vocabulary.compatible.cache_clear()
 
     return slim.mapInArrow(run, schema).select(*[F.col(n).alias(c) for c, n in zip(id_cols, names, strict=True)], "ids")
 
