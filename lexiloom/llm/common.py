@@ -34,7 +34,8 @@ def cut(df: DataFrame) -> DataFrame:
     """Materialises ``df`` in the shared folder and cuts its lineage; shuffle files that only it needed can go."""
     shared_dir(df.sparkSession)
     held = df.checkpoint(eager=True)
-    release(df.sparkSession)
+    del df  # it holds the plan that has run, and so its shuffle files
+    release(held.sparkSession)
     return held
 
 
