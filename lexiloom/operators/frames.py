@@ -15,6 +15,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lexiloom-"))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share."""
+    ensure_checkpoint_dir(spark)
+    return (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir().get()).rstrip("/")
+
+
 def held(df: DataFrame) -> DataFrame:
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)

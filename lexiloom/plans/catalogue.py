@@ -387,13 +387,13 @@ ROUNDTRIP = f"SELECT doc_id, {BYTES}::BIGINT AS n_bytes, md5(text) AS digest FRO
 @query(ROUNDTRIP)
 def bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spread_out(docs(spark, sf_dir))
-    return roundtrip(rows, bpe.fit_bpe(rows, 400, max_types=20_000))
+    return roundtrip(rows, bpe.fit_bpe(rows, 400))
 
 
 @query()
 def bpe_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spread_out(docs(spark, sf_dir))
-    return bpe.harvested(rows, bpe.fit_bpe(rows, 400, max_types=20_000), 300)
+    return bpe.harvested(rows, bpe.fit_bpe(rows, 400), 300)
 
 
 @query(ROUNDTRIP)

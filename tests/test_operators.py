@@ -182,6 +182,45 @@ def test_parity_bpe_serves_the_longer_language_first(spark):
     assert ord("a") not in bpe.fit_parity_bpe(train, train, 260).pairs[0]
 
 
+def naive_merges(counts, merges, tie=lambda p: (-p[0], -p[1]), done=()):
+    """Merges learned by a full recount after each, on counted byte strings."""
+    seqs, pairs = [(slow_encode(t, done), w) for t, w in counts.items()], list(done)
+    for _ in range(merges):
+        count = __import__("collections").Counter()
+        for ids, w in seqs:
+            for p in zip(ids, ids[1:], strict=False):
+                count[p] += w
+        if not count:
+            break
+        pairs.append(max(count, key=lambda p: (count[p], *tie(p))))
+        seqs = [(bpe.joined(ids, pairs[-1], 255 + len(pairs)), w) for ids, w in seqs]
+    return pairs
+
+
+def odd_texts():
+    rng = __import__("random").Random(3)
+    return [" ".join("".join(rng.choice("aaabbcé") for _ in range(rng.randint(1, 9))) for _ in range(rng.randint(0, 12))) + rng.choice(["", "\n", "  \n aaaa"]) for _ in range(150)] + ["", "aaaaaaa", None]
+
+
+def counted(texts, pattern=tx.PRETOKEN):
+    return __import__("collections").Counter(t.encode() for x in texts for t in __import__("re").findall(pattern, x or "", __import__("re").ASCII))
+
+
+def test_batched_merges_equal_a_naive_recount(spark, monkeypatch):
+    monkeypatch.setattr(bpe, "BLOCK", 200)
+    df = spark.createDataFrame([(t,) for t in odd_texts()], "text string")
+    for tie, key in bpe.TIES.items():
+        assert bpe.fit_bpe(df, 300, tie=tie).pairs == naive_merges(counted(odd_texts()), 44, key)
+
+
+def test_rare_types_count(spark, tmp_path):
+    from lexiloom.plans import catalogue
+
+    words = [f"w{i}" for i in range(20_000)] * 2 + [f"zq{i}" for i in range(50_000)]
+    spark.createDataFrame([(i, " ".join(words[i::50]), "en", "s") for i in range(50)], "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert ord("z") not in {r["token_id"] for r in catalogue.bpe_vocab(spark, str(tmp_path)).filter("cnt > 1000").collect()}
+
+
 def test_offsets_that_go_back():
     assert bpe.offsets_to_spans("abcd", [(0, 2), (1, 3), (3, 4)]) == [b"ab", b"c", b"d"]
 
