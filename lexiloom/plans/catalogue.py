@@ -399,7 +399,7 @@ def bpe_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(ROUNDTRIP)
 def superbpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spread_out(docs(spark, sf_dir))
-    merges = bpe.fit_superbpe(rows, 320, max_types=3_000)
+    merges = bpe.fit_superbpe(rows, 320)
     return roundtrip(rows, merges, lambda c: F.regexp_extract_all(c, F.lit("[^\n]*\n|[^\n]+"), F.lit(0)))
 
 
@@ -407,7 +407,7 @@ def superbpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def parity_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spread_out(docs(spark, sf_dir))
     dev = rows.filter("doc_id % 10 = 0")
-    return roundtrip(rows, bpe.fit_parity_bpe(rows.filter("doc_id % 10 > 0"), dev, 320, max_types=10_000))
+    return roundtrip(rows, bpe.fit_parity_bpe(rows.filter("doc_id % 10 > 0"), dev, 320))
 
 
 @query("""WITH v AS (SELECT l_suppkey, sum(l_extendedprice * (1 - l_discount)) AS r FROM lineitem GROUP BY 1), i AS (SELECT r, row_number() OVER (ORDER BY r) AS i FROM v)

@@ -221,6 +221,44 @@ def test_rare_types_count(spark, tmp_path):
     assert ord("z") not in {r["token_id"] for r in catalogue.bpe_vocab(spark, str(tmp_path)).filter("cnt > 1000").collect()}
 
 
+def test_superbpe_learns_from_all_lines(spark, tmp_path, monkeypatch):
+    from lexiloom.plans import catalogue
+
+    lines = [f"w{i}" for i in range(3_000)] * 2 + [f"k{i} {i % 7} k" for i in range(4_000)]
+    texts, found, real = ["\n".join(lines[i::20]) for i in range(20)], [], bpe.fit_superbpe
+    spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr(bpe, "fit_superbpe", lambda *a, **o: found.append(real(*a, **o)) or found[0])
+    catalogue.superbpe_roundtrip(spark, str(tmp_path))
+    first = naive_merges(counted(texts), 51)
+    assert found[0].pairs == naive_merges(counted(texts, "[^\n]+"), 64 - len(first), done=first)
+
+
+@pytest.mark.parametrize("first", [0, 5])
+def test_parity_bpe_equals_a_naive_recount(spark, first):
+    texts = {"a": odd_texts(), "b": [t and t[::-1].replace("b", "d") for t in odd_texts()[:60]], "c": ["zzzzz zzz", "zz z zzzz"]}
+    df = spark.createDataFrame([(k, t) for k, ts in texts.items() for t in ts], "lang string, text string")
+    seqs = {k: [(list(t), w) for t, w in counted(ts).items()] for k, ts in texts.items()}
+    naive = []
+    for step in range(40):
+        serve = max(seqs, key=lambda k: (sum(len(s) * w for s, w in seqs[k]), k))
+        count = __import__("collections").Counter()
+        for k in seqs if step < first else [serve]:
+            for ids, w in seqs[k]:
+                for p in zip(ids, ids[1:], strict=False):
+                    count[p] += w
+        if not count or max(count.values()) < 2:
+            break
+        naive.append(max(count, key=lambda p: (count[p], p)))
+        seqs = {k: [(bpe.joined(ids, naive[-1], 255 + len(naive)), w) for ids, w in s] for k, s in seqs.items()}
+    assert bpe.fit_parity_bpe(df, df, 296, global_merges=first).pairs == naive
+
+
+def test_parity_bpe_keeps_a_rare_language(spark):
+    train = spark.createDataFrame([("hot", " ".join(f"w{i}" for i in range(50_001)))] * 2 + [("rare", "xyxyxyxy")], "lang string, text string")
+    dev = spark.createDataFrame([("hot", "w1"), ("rare", "xyxyxyxy " * 9)], "lang string, text string")
+    assert set(bpe.fit_parity_bpe(train, dev, 257).pairs[0]) == {ord("x"), ord("y")}
+
+
 def test_offsets_that_go_back():
     assert bpe.offsets_to_spans("abcd", [(0, 2), (1, 3), (3, 4)]) == [b"ab", b"c", b"d"]
 
