@@ -104,6 +104,14 @@ def test_scattered_edits_are_not_similar_enough(spark):
     assert dedup.similar_pairs(df, "i", 0.74).first()["jaccard"] == pytest.approx(0.7407, abs=1e-4)
 
 
+def test_repeated_lines_count_as_words(spark):
+    line = " ".join(f"w{i}" for i in range(20))
+    texts = ["\n".join([line] * 8)] * 2 + ["x " * 50] * 2 + ["x " * 49] * 2
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for pairs in (dedup.similar_pairs(df, "doc_id", min_words=50), dedup.minhash_edges(df, "doc_id")):
+        assert sorted((r["a"], r["b"]) for r in pairs.collect()) == [(0, 1), (2, 3)]
+
+
 def test_greedy_chain(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (3, 4)], "a long, b long")
     assert sorted(r["i"] for r in dedup.keep_greedily(spark.createDataFrame([(k,) for k in range(1, 6)], "i long"), edges, "i").collect()) == [1, 3, 5]
