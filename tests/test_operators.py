@@ -112,6 +112,16 @@ def test_repeated_lines_count_as_words(spark):
         assert sorted((r["a"], r["b"]) for r in pairs.collect()) == [(0, 1), (2, 3)]
 
 
+def test_minhash_recall_against_the_exact_join(spark):
+    long = [" ".join(f"p{k}w{i}" for i in range(112)) for k in range(200)]
+    texts = [x for t in long for x in (t, " ".join(t.split()[:92]))]  # 80 of 100 shingles
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    exact = {(r["a"], r["b"]) for r in dedup.similar_pairs(df, "doc_id", 0.8, min_words=50).collect()}
+    found = {(r["a"], r["b"]) for r in dedup.minhash_edges(df, "doc_id").collect()}
+    assert len(exact) == 200 and found <= exact
+    assert len(found) / 200 == pytest.approx(1 - (1 - 0.8**13) ** 9, abs=0.12)
+
+
 def test_greedy_chain(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (3, 4)], "a long, b long")
     assert sorted(r["i"] for r in dedup.keep_greedily(spark.createDataFrame([(k,) for k in range(1, 6)], "i long"), edges, "i").collect()) == [1, 3, 5]
