@@ -14,6 +14,7 @@ id and the text are not looked at.
 from __future__ import annotations
 
 import base64
+import hashlib
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexiloom.llm.common import blocks
+from lexiloom.llm.common import blocks, mapped
 
 #: Pieces longer than this many bytes are encoded one by one.
 LONG_PIECE = 256
@@ -314,7 +315,7 @@ _WORKER: dict[tuple, Encoder] = {}
 
 
 def _encoder(raw: bytes, pattern: str, split: tuple[np.ndarray, np.ndarray]) -> Encoder:
-    key = (len(raw), raw[:64], raw[-64:], pattern)
+    key = (hashlib.blake2b(raw).digest(), pattern)
     if key not in _WORKER:
         _WORKER.clear()
         _WORKER[key] = Encoder(raw, pattern, split)
@@ -333,30 +334,41 @@ def _table(split: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray
     return split[0].astype(np.int64), split[1].astype(np.int64)
 
 
-def encode(df: DataFrame, path: str, pattern: str, text_col: str = "text", id_cols: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The id columns and ``ids`` array<int>, one row per input row."""
+def encode(df: DataFrame, path: str, pattern: str, text_col: str = "text", id_cols: tuple[str, ...] = ("doc_id",), decoded: bool = False) -> DataFrame:
+    """The id columns and ``ids`` array<int>, one row per input row; with ``decoded`` also the bytes that the ids decode to.
+
+    Decoding in the same pass takes one Python worker per task where ``encode`` and ``decode`` one after the other take two.
+    """
     raw, split = _prepared(path)
     names = [f"k{i}" for i in range(len(id_cols))]
     slim = df.select(*[F.col(c).alias(n) for c, n in zip(id_cols, names, strict=True)], F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    schema = T.StructType([*slim.schema.fields[:-1], T.StructField("ids", T.ArrayType(T.IntegerType(), False), False)])
+    more = [T.StructField("decoded", T.BinaryType(), False)] * decoded
+    schema = T.StructType([*slim.schema.fields[:-1], T.StructField("ids", T.ArrayType(T.IntegerType(), False), False), *more])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(raw, pattern, _table(split))
         try:
-            for part in blocks(batches, "text"):
+            for part in blocks(batches, "text", 1 << 20):
                 ids, ends = encoder.encode(part.column("text").to_pylist())
                 lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(ids, pa.int32()))
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], lists], names=[*names, "ids"])
+                back = [pa.array(joined(encoder.vocabulary.tokens, ids, np.append(0, ends)), pa.binary())] if decoded else []
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], lists, *back], names=[*names, "ids", *["decoded"] * decoded])
         finally:  # the worker lives on, for other operators too; it keeps the tables only
             encoder.known = {}
             encoder.vocabulary.compatible.cache_clear()
 
-    return slim.mapInArrow(run, schema).select(*[F.col(n).alias(c) for c, n in zip(id_cols, names, strict=True)], "ids")
+    return mapped(slim, run, schema).select(*[F.col(n).alias(c) for c, n in zip(id_cols, names, strict=True)], "ids", *["decoded"] * decoded)
+
+
+def joined(tokens: list[bytes], ids: np.ndarray, ends: np.ndarray) -> list[bytes]:
+    """The bytes of each run of ids between two ends."""
+    get, flat = tokens.__getitem__, ids.tolist()
+    return [b"".join(map(get, flat[a:b])) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
 
 
 def decode(df: DataFrame, path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
-    """``df`` with the bytes of ``ids_col`` as ``out_col``; null ids give null, an id out of range is an error."""
-    raw = read_ranks(path)
+    """``df`` with the bytes of ``ids_col`` as ``out_col`` (a column of that name is replaced); null ids give null, an id out of range is an error."""
+    raw, df = read_ranks(path), df.drop(out_col)
     schema = T.StructType([*df.schema.fields, T.StructField(out_col, T.BinaryType())])
     names = [f.name for f in schema.fields]
     place = df.columns.index(ids_col)
@@ -364,23 +376,20 @@ def decode(df: DataFrame, path: str, ids_col: str = "ids", out_col: str = "decod
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = Vocabulary.tokens_of(raw)
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
-                column = part.column(place)
-                offsets, values = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
-                null = column.is_null().to_numpy(zero_copy_only=False)
-                get = tokens.__getitem__
-                out = [None if null[i] else b"".join(map(get, values[offsets[i] : offsets[i + 1]].tolist())) for i in range(len(part))]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.binary())], names=names)
+            column = batch.column(place)
+            null = column.is_null().to_numpy(zero_copy_only=False)
+            ends, values = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
+            out = [None if gone else data for gone, data in zip(null.tolist(), joined(tokens, values, ends), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=names)
 
-    return df.mapInArrow(run, schema)
+    return mapped(df, run, schema)
 
 
-_TOKENS: dict[tuple, list[bytes]] = {}
+_TOKENS: dict[bytes, list[bytes]] = {}
 
 
 def _tokens_of(raw: bytes) -> list[bytes]:
-    key = (len(raw), raw[:64], raw[-64:])
+    key = hashlib.blake2b(raw).digest()
     if key not in _TOKENS:
         ranks = {int(b): base64.b64decode(a) for a, b in (line.split() for line in raw.splitlines() if line.strip())}
         _TOKENS.clear()

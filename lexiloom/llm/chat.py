@@ -2,7 +2,8 @@
 
 A turn is ``<|im_start|>role\\n`` + text + ``<|im_end|>\\n``. A control string inside a text (of
 this template or of the bracket style) gets a backslash after its first character; a text that
-already has backslashes there gets one more, so taking one away restores every text.
+already has backslashes there gets one more, so taking one away restores every text. In a role
+a line feed is written as %0A and a percent sign as %25.
 For a batch of turns the lengths of all segments are summed to offsets and headers, texts and
 ends are copied into one buffer by index arrays; conversations are slices of that buffer.
 
@@ -24,6 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lexiloom.llm.common import mapped
+
 START, END = "<|im_start|>", "<|im_end|>"
 #: What may follow the first character of a control string.
 TAILS = r"\|im_start\|>|\|im_end\|>|INST\]|/INST\]|s>|/s>"
@@ -40,6 +43,15 @@ def unescape(text: str) -> str:
     return UNESCAPE.sub(r"\1\2\3", text)
 
 
+def one_line(roles: pa.Array) -> pa.Array:
+    """Roles end at their line, so a line feed in one is written as %0A and a percent sign as %25."""
+    return pc.replace_substring(pc.replace_substring(roles, "%", "%25"), "\n", "%0A")
+
+
+def any_lines(role: str) -> str:
+    return role.replace("%0A", "\n").replace("%25", "%")
+
+
 def segments(columns: list[pa.Array]) -> tuple[np.ndarray, np.ndarray]:
     """Joins string columns row by row into one buffer; where each cell starts in it, by row and column."""
     n, k = len(columns[0]), len(columns)
@@ -62,7 +74,7 @@ def assemble(conv: np.ndarray, roles: pa.Array, texts: pa.Array) -> tuple[pa.Arr
     """Formatted conversations, their loss spans (code points) and the first row of each; ``conv`` marks rows that start one."""
     n = len(roles)
     empty = lambda x: pc.fill_null(x.cast(pa.large_string()), "")
-    roles, texts = escape(pc.replace_substring(empty(roles), "\n", " ")), escape(empty(texts))
+    roles, texts = escape(one_line(empty(roles))), escape(empty(texts))
     fixed = lambda x: pa.array([x], pa.large_string()).take(pa.array(np.zeros(n, np.int64)))
     columns = [fixed(START), roles, fixed("\n"), texts, fixed(f"{END}\n")]
     out, at = segments(columns)
@@ -115,7 +127,7 @@ def write(rows: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role
             yield flush(held)
 
     order = [F.col("conv_id"), F.col("turn").asc_nulls_first(), F.col("role"), F.col("text")]
-    return slim.repartition("conv_id").sortWithinPartitions(*order).mapInArrow(run, schema)
+    return mapped(slim.repartition("conv_id").sortWithinPartitions(*order), run, schema)
 
 
 
@@ -125,7 +137,7 @@ def parse(formatted: str) -> list[tuple[str, str]]:
     while at < len(formatted):
         line = formatted.index("\n", at)
         stop = formatted.index(END, line)
-        out.append((unescape(formatted[at + len(START) : line]), unescape(formatted[line + 1 : stop])))
+        out.append((any_lines(unescape(formatted[at + len(START) : line])), unescape(formatted[line + 1 : stop])))
         at = stop + len(END) + 1
     return out
 
@@ -147,7 +159,7 @@ def read(formatted: DataFrame) -> DataFrame:
                 loss = ["".join(unescape(x[s["start"] : s["stop"]]) for s in own) for x, own in zip(texts, spans, strict=True)]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(turns, kind), pa.array(loss, pa.string())], names=names)
 
-    return formatted.mapInArrow(run, schema)
+    return mapped(formatted, run, schema)
 
 
 def digests(read_back: DataFrame) -> DataFrame:

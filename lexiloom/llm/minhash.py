@@ -24,10 +24,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexiloom.llm.common import blocks, cut, stage
+from lexiloom.llm.common import blocks, cut, mapped, stage
 from lexiloom.llm.graph import components
 from lexiloom.llm.shingles import U, mix, shingle_sets
 
@@ -81,7 +81,7 @@ def sketch(documents: DataFrame, n: int = 4, bands: int = BANDS, rows: int = ROW
             lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(keys.ravel()))
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary()), lists], names=["doc_id", "n_shingles", "digest", "bands"])
 
-    return slim.mapInArrow(run, "doc_id long, n_shingles long, digest binary, bands array<long>")
+    return mapped(slim, run, "doc_id long, n_shingles long, digest binary, bands array<long>")
 
 
 def shingle_table(documents: DataFrame, n: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -93,7 +93,7 @@ def shingle_table(documents: DataFrame, n: int, id_col: str = "doc_id", text_col
             sets = shingle_sets(part.column("text"), n)
             yield pa.RecordBatch.from_arrays([part.column("vertex"), pa.array([s.tobytes() for s in sets], pa.binary())], names=["vertex", "shingles"])
 
-    return slim.mapInArrow(run, "vertex long, shingles binary")
+    return mapped(slim, run, "vertex long, shingles binary")
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -116,7 +116,7 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                     keep.append(i)
             yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    return mapped(pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb"), run, "a long, b long")
 
 
 def links_between(x: list[np.ndarray], y: list[np.ndarray], percent: int, columns: int = 1 << 14) -> np.ndarray:
@@ -208,7 +208,15 @@ def group(
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
-def drop_near(documents: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The documents, one of each group, with all their columns."""
-    kept = group(documents, id_col=id_col, **options).filter("kept").select(F.col("doc_id").alias("__id")).distinct()
-    return documents.join(kept, documents[id_col] == kept["__id"], "left_semi")
+def drop_near(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The documents, one row of each group, with all their columns.
+
+    A row without an id takes part like any other, behind all ids, under a number made of its text.
+    Of rows with the same id the one with the least hash of its text stays.
+    """
+    own = F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))), 2).bitwiseOR(F.lit(1 << 62))
+    keyed = documents.withColumn("__vertex", F.coalesce(F.col(id_col).cast("long"), own))
+    kept = group(keyed, id_col="__vertex", text_col=text_col, **options).filter("kept").select(F.col("doc_id").alias("__id")).distinct()
+    first = F.row_number().over(Window.partitionBy("__vertex").orderBy(F.xxhash64(text_col)))
+    joined = keyed.join(kept, F.col("__vertex") == F.col("__id"), "left_semi").withColumn("__place", first)
+    return joined.filter("__place = 1").select(*[F.col(f"`{c}`") for c in documents.columns])

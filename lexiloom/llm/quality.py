@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexiloom.llm.common import blocks, stage
+from lexiloom.llm.common import blocks, mapped, stage
 
 FEATURES = (
     "log_bytes", "log_words", "word_length", "distinct_words", "repeated_next", "distinct_pairs", "upper", "digits", "spaces",
@@ -170,7 +170,7 @@ def feature_table(documents: DataFrame, id_col: str = "doc_id", text_col: str =
             ends = pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1])
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(ends, pa.array(x.ravel()))], names=["doc_id", "features"])
 
-    return slim.mapInArrow(run, schema)
+    return mapped(slim, run, schema)
 
 
 def held_out(id_column) -> object:
@@ -195,7 +195,7 @@ def score_table(table: DataFrame, model: Model, threshold: float = 0.3) -> DataF
             flat = batch.column("features").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, len(FEATURES))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(model.score(flat))], names=["doc_id", "score"])
 
-    scored = table.select("doc_id", "features").mapInArrow(run, schema)
+    scored = mapped(table.select("doc_id", "features"), run, schema)
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
@@ -211,10 +211,8 @@ def keep_good(documents: DataFrame, labels: DataFrame, threshold: float = 0.3, t
     place, names = documents.columns.index(text_col), documents.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                good = model.score(feature_rows(part.column(place).to_pylist())) >= threshold
-                yield pa.RecordBatch.from_arrays(part.filter(pa.array(good)).columns, names=names)
+        for part in batches:
+            good = model.score(feature_rows(part.column(place).to_pylist())) >= threshold
+            yield pa.RecordBatch.from_arrays(part.filter(pa.array(good)).columns, names=names)
 
-    return documents.mapInArrow(run, documents.schema)
+    return mapped(documents, run, documents.schema)

@@ -24,8 +24,7 @@ def token_digests(documents: DataFrame) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    ids = bpe.encode(documents, path, public_tokenizers.PATTERN)
-    return bpe.decode(ids, path).select(
+    return bpe.encode(documents, path, public_tokenizers.PATTERN, decoded=True).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),

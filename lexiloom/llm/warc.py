@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiloom.llm.common import cut, shared_dir
+from lexiloom.llm.common import cut, mapped, shared_dir
 
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -218,7 +218,7 @@ def write(pages: DataFrame, folder: str | None = None, revisit_from: int = 1000,
         if out is not None:
             yield end()
 
-    return cut(decide(pages, revisit_from, **columns).mapInArrow(run, MANIFEST))
+    return cut(mapped(decide(pages, revisit_from, **columns), run, MANIFEST))
 
 
 def read(manifest: DataFrame, uri_col: str = "uri", payload: bool = True) -> DataFrame:
@@ -244,4 +244,4 @@ def read(manifest: DataFrame, uri_col: str = "uri", payload: bool = True) -> Dat
                     if rows:
                         yield batch_of(rows)
 
-    return manifest.select(F.col(uri_col).alias("uri")).filter("uri is not null").mapInArrow(run, PAGE)
+    return mapped(manifest.select(F.col(uri_col).alias("uri")).filter("uri is not null"), run, PAGE)

@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lexiloom.llm import bpe, chat, graph, hnsw, minhash, mixing, pii, quality, queries, sketches, substrings, warc
+from lexiloom.llm import bpe, chat, graph, hnsw, minhash, mixing, pii, quality, queries, shingles, sketches, substrings, warc
 
 WORD = r"[^\x20\x09-\x0D]+"
 ODD = [None, "", " \n\t ", "one", "one two three four five", "éèà 日本 \U0001f600 \U0001f600", "a" * 3000, "x y " * 3000]
@@ -257,17 +257,27 @@ def test_repeats_equal_brute_force(spark, prose):
     assert substrings.remove_repeats(documents(spark, [])).count() == 0
 
 
+def test_repeats_hold_at_any_levels(spark, prose):
+    rows_ = sorted(map(tuple, substrings.remove_repeats(documents(spark, prose)).select("doc_id", "n_removed", "kept_sha256").collect()))
+    for levels in ((0,), (2, 3, 1)):
+        assert sorted(map(tuple, substrings.remove_repeats(documents(spark, prose), levels=levels).select("doc_id", "n_removed", "kept_sha256").collect())) == rows_
+
+
 def test_windows_share_symbols_whatever_stands_around():
     rng = random.Random(2)
-    passage = " ".join(f"p{rng.randint(0, 9)}" for _ in range(35))
-    texts = [" ".join(f"q{rng.randint(0, 9)}" for _ in range(rng.randint(0, 30))) + " " + passage + " " + " ".join(f"r{rng.randint(0, 3)}" for _ in range(rng.randint(0, 30))) for _ in range(40)]
+    passage = [f"p{rng.randint(0, 9)}" for _ in range(35)]
+    shared, most = None, 0
     with np.errstate(over="ignore"):
-        p = substrings.Parsed(pa.array(texts), 35)
-        wanted = substrings.folded(p.hashes, 35)
-    places = [p.bounds[i] + len(t.split(passage)[0].split()) for i, t in enumerate(texts)]
-    at = np.searchsorted(p.windows, places)
-    assert len(set(wanted[places].tolist())) == 1
-    assert len(set(p.chosen[at].tolist())) == 1 and len(set(p.loose[at].tolist())) == 1
+        for _ in range(40):
+            before, after = ([f"{c}{rng.randint(0, 9)}" for _ in range(rng.randint(0, 30))] for c in "qr")
+            data, offsets = shingles.text_bytes(pa.array([" ".join(before + passage + after)]))
+            hashes, start, _ = shingles.words(data, offsets, lower=False)
+            found = substrings.Names(hashes, shingles.document_bounds(start, offsets), 35, 3)
+            inside = (found.left >= len(before)) & (found.right <= len(before) + 35)
+            mine = found.sym[inside].tolist()
+            assert mine and (shared is None or mine == shared)
+            shared, most = mine, max(most, len(mine))
+    assert most >= 5
 
 
 PLAIN = [("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")]
