@@ -12,17 +12,27 @@ def _both(edges: DataFrame) -> DataFrame:
     return edges.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.a", "e.b")
 
 
+#: Tasks among which the neighbours of one vertex are dealt.
+SPLIT = 16
+
+
+def _with_least(edges: DataFrame, least: DataFrame) -> DataFrame:
+    """Edges with the least neighbour (u, m) of their vertex a. The centre of a large star is no hot key: its edges are dealt out by their other end."""
+    dealt = least.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SPLIT - 1))))
+    return edges.withColumn("own", F.pmod(F.xxhash64("b"), F.lit(SPLIT)).cast("int")).join(dealt, (F.col("a") == F.col("u")) & (F.col("own") == F.col("part")))
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     """Each vertex ties its larger neighbours to its least neighbour (or itself)."""
     near = _both(edges)
     least = near.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return near.join(least, F.col("a") == F.col("u")).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b").distinct()
+    return _with_least(near, least).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Each vertex ties itself and its smaller neighbours to the least of them; edges point down (a > b)."""
     least = edges.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"))
-    tied = edges.join(least, F.col("a") == F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+    tied = _with_least(edges, least).select(F.col("b").alias("a"), F.col("m").alias("b"))
     return tied.union(least.select(F.col("u").alias("a"), F.col("m").alias("b"))).filter("a != b").distinct()
 
 

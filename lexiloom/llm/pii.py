@@ -1,11 +1,21 @@
 """Personal data: fixed patterns, and identifiers found by bootstrapped contextual extraction.
 
-The spans of the four patterns are the seeds. Every token with a digit or an at-sign is an
-instance; a lexical pattern is the word before a token together with the token's shape (digit
-and letter runs). A pattern scores as the summed score of its instances over their number plus
-one, an instance as the mean of its patterns weighted by how often it fills them; seeds stay at 1.
-The two are computed in turn, ``rounds`` times. Instances outside all seeds whose pattern and own
-score reach ``confident`` become spans of the kind that the pattern's seeds mostly have.
+The spans of the four base patterns are seeds, whole: a phone number of three words is one instance.
+Keys of 32 and more hexadecimal digits are seeds of a fifth kind, secret. Any other token with a
+digit or at-sign is a candidate, without the marks around it; candidates with one blank between
+them are one instance. An
+instance occurs in two patterns, the word before it and the word after it, each with the
+instance's shape (the lengths of long digit runs, mixed letters and digits as one sign). A sign
+without letters or digits isn't a word of its own: the word before it goes with it (``token =``).
+
+A pattern scores as the mean score of the instances that fill it, without the one that asks and
+with one share of the shape's own mean added (the coarser pattern, which a rare context falls back
+on); an instance as the mean of its patterns, weighted by how often it fills them; seeds stay at 1
+and all else starts at 0. The two are computed in turn, ``rounds`` times. Scores are shares, so
+the same contexts give the same spans at any size of table. A candidate that reaches
+``confident``, after a word that seeds of its shape have had before them too, becomes a span of
+the kind that the seeds in its patterns mostly have. ``informed`` patterns are those that at least
+two different seeds fill; a candidate in none of them adds nothing.
 
 All of it is DataFrame operations: matches come from splitting a text at a pattern, positions
 from running sums of the pieces' lengths in code points. Patterns are written so that no text
@@ -18,7 +28,7 @@ ignored by ``find`` and kept by ``redact``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiloom.llm.common import cut, stage, text_or_empty
@@ -35,24 +45,42 @@ PATTERNS = {
     # \+[0-9][\x20().0-9-]+[0-9]
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
+#: Seeds beyond the base kinds.
+SECRET = r"(?<![A-Za-z0-9])(?=[0-9]*+[A-Fa-f])(?=[A-Fa-f]*+[0-9])[0-9A-Fa-f]{32,}+(?![A-Za-z0-9])"
+ALL_KINDS = (*KINDS, "secret")
 TOKEN = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
 GUARDS = {"email": "@", "ip": ".", "phone": "+"}
-SPAN = "array<struct<start:int,stop:int,value:string,gap:string>>"
+SPAN = "array<struct<start:int,stop:int,value:string,left:string,right:string>>"
+EDGE = "^"
+
+
+def _blanks(text: Column) -> Column:
+    return F.translate(text, "\t\n\x0b\x0c\r", "     ")
 
 
 def located(text: Column, pattern: str) -> Column:
-    """Leftmost non-overlapping matches with their places (code points, stop exclusive) and the text before each."""
+    """Leftmost non-overlapping matches with their places (code points, stop exclusive) and the words before and after each.
+
+    The words before are the last three between this match and the one before it, or that match if there are none.
+    """
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
+    bare = F.transform(gaps, lambda g: F.trim(_blanks(g)))
+    n = F.size(hits)
+    left = F.zip_with(F.slice(bare, 1, n), F.concat(F.array(F.lit(EDGE)), F.slice(hits, 1, F.greatest(n - 1, F.lit(0)))), lambda g, v: F.when(g == "", v).otherwise(F.substring_index(g, " ", -3)))
+    right = F.zip_with(F.slice(bare, 2, n), F.concat(F.slice(hits, 2, n), F.array(F.lit(EDGE))), lambda g, v: F.when(g == "", v).otherwise(F.substring_index(g, " ", 1)))
 
     def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
+        start = acc["at"] + x["ahead"]
         stop = start + F.length(x["value"])
-        one = F.struct(start.alias("start"), stop.alias("stop"), x["value"].alias("value"), F.right(x["gap"], F.lit(40)).alias("gap"))
+        one = F.struct(start.alias("start"), stop.alias("stop"), x["value"].alias("value"), x["left"].alias("left"), x["right"].alias("right"))
         return F.struct(stop.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
 
-    pairs = F.zip_with(hits, F.slice(gaps, 1, F.size(hits)), lambda v, g: F.struct(v.alias("value"), g.alias("gap")))
-    return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out")), step, lambda acc: acc["out"])
+    cues = F.zip_with(left, right, lambda a, b: F.struct(a.alias("left"), b.alias("right")))
+    values = F.zip_with(hits, F.slice(gaps, 1, n), lambda v, g: F.struct(v.alias("value"), F.length(g).alias("ahead")))
+    pieces = F.zip_with(values, cues, lambda v, c: F.struct(v["value"].alias("value"), v["ahead"].alias("ahead"), c["left"].alias("left"), c["right"].alias("right")))
+    found = F.aggregate(pieces, F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out")), step, lambda acc: acc["out"])
+    return F.when(n > 0, found).otherwise(F.array().cast(SPAN))
 
 
 def _digits(value: Column) -> Column:
@@ -85,64 +113,101 @@ def valid(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
-def base_spans(text: Column, kind: str) -> Column:
+def seed_spans(text: Column, kind: str) -> Column:
+    if kind == "secret":
+        return F.when(text.rlike("[0-9A-Fa-f]{32}"), located(text, SECRET)).otherwise(F.array().cast(SPAN))
     found = F.filter(located(text, PATTERNS[kind]), lambda x: valid(kind, x["value"]))
-    bare = F.transform(found, lambda x: F.struct(x["start"].alias("start"), x["stop"].alias("stop")))
     present = text.contains(GUARDS[kind]) if kind in GUARDS else F.lit(True)
-    return F.when(present & (text.rlike("[0-9]") if kind != "email" else F.lit(True)), bare).otherwise(F.array().cast("array<struct<start:int,stop:int>>"))
+    return F.when(present & (text.rlike("[0-9]") if kind != "email" else F.lit(True)), found).otherwise(F.array().cast(SPAN))
 
 
 def base_table(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (doc_id, check, one array of spans per kind, tokens), one per document."""
     rows = documents.select(F.col(id_col).alias("doc_id"), text_or_empty(F.col(text_col)).alias("text"))
-    tokens = F.when(F.col("text").rlike("[0-9@]"), F.filter(located(F.col("text"), TOKEN), lambda x: F.length(x["value"]) >= 6)).otherwise(F.array().cast(SPAN))
-    return rows.select("doc_id", F.xxhash64("text").alias("check"), *[base_spans(F.col("text"), k).alias(k) for k in KINDS], tokens.alias("tokens"))
+    tokens = F.when(F.col("text").rlike("[0-9@]"), located(F.col("text"), TOKEN)).otherwise(F.array().cast(SPAN))
+    return rows.select("doc_id", F.xxhash64("text").alias("check"), *[seed_spans(F.col("text"), k).alias(k) for k in ALL_KINDS], tokens.alias("tokens"))
 
 
 def shape(value: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(value, "[0-9]+", "9"), r"\p{L}+", "a")
-
-
-def discover(base: DataFrame, rounds: int = 3, confident: float = 0.9) -> DataFrame:
+    """Letters and digits mixed as x, letter runs as a, digit runs as 9 or, with their length, from four digits on as 8; marks inside stay."""
+    mixed = F.regexp_replace(F.regexp_replace(value, r"^[^\p{L}0-9]++|(?<=[\p{L}0-9])[^\p{L}0-9]++$", ""),r"(?<![\p{L}0-9])(?=\p{L}*+[0-9])(?=[0-9]*+\p{L})[\p{L}0-9]{8,}+", "\u0001")
+    plain = F.regexp_replace(F.regexp_replace(mixed, r"\p{L}+", "a"), "[0-9]{1,3}+(?![0-9])", "9")
+    long = F.transform(F.regexp_extract_all(plain, F.lit("[0-9]{4,}+"), F.lit(0)), lambda run: F.length(run).cast("string"))
+    return F.concat_ws("#", F.regexp_replace(F.regexp_replace(plain, "[0-9]{4,}+", "8"), "\u0001", "x"), F.array_join(long, "."))
+
+
+def _cue(words: Column, last: bool) -> Column:
+    """The nearest word, lower-cased; the two nearest if the nearer has neither letter nor digit. Opening marks are no words."""
+    if not last:
+        return F.lower(words)
+    words = F.rtrim(F.regexp_replace(words, r"(?<![\x20\"'`(\[{<])[\x20\"'`(\[{<]++$", ""))
+    near = F.substring_index(words, " ", -1)
+    return F.lower(F.when(words == "", F.lit(EDGE)).when(near.rlike(r"[\p{L}0-9]"), near).otherwise(F.substring_index(words, " ", -2)))
+
+
+def instances(base: DataFrame) -> DataFrame:
+    """Rows (doc_id, check, start, stop, value, left, right, kind): seeds, and candidates with a null kind."""
+    c = F.col
+    overlaps = lambda t: F.exists(c("spans"), lambda s: (s["start"] < t["stop"]) & (s["stop"] > t["start"]))
+    spans = F.concat(*[F.transform(k, lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"))) for k in ALL_KINDS])
+    rows = base.withColumn("spans", spans).filter("size(spans) + size(tokens) > 0")
+    tagged = lambda k: F.transform(k, lambda s: F.struct(*[s[f].alias(f) for f in ("start", "stop", "value", "left", "right")], F.lit(k).alias("kind")))
+    seeds = rows.select("doc_id", "check", F.explode(F.concat(*[tagged(k) for k in ALL_KINDS])).alias("s")).select("doc_id", "check", "s.*")
+    free = rows.select("doc_id", "check", F.explode(F.filter("tokens", lambda t: ~overlaps(t))).alias("t")).select("doc_id", "check", "t.*")
+    # candidates that one blank parts are one instance
+    order = Window.partitionBy("doc_id", "check").orderBy("start", "stop")
+    runs = free.distinct().withColumn("new", F.when(F.lag("stop").over(order) + 1 == c("start"), 0).otherwise(1)).withColumn("run", F.sum("new").over(order))
+    whole = runs.groupBy("doc_id", "check", "run").agg(
+        F.min("start").alias("start"), F.max("stop").alias("stop"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("start", "value"))), lambda x: x["value"]), " ").alias("value"),
+        F.min_by("left", "start").alias("left"), F.max_by("right", "start").alias("right"),
+    )
+    # marks around a candidate aren't part of it
+    ahead = F.length(F.regexp_extract("value", r"^[^\p{L}0-9+]*+", 0))
+    bare = F.regexp_replace("value", r"^[^\p{L}0-9+]++|(?<=[\p{L}0-9])[^\p{L}0-9]++$", "")
+    trimmed = whole.drop("run").withColumn("start", c("start") + ahead).withColumn("value", bare).withColumn("stop", c("start") + F.length("value"))
+    return seeds.unionByName(trimmed.filter("value != ''").withColumn("kind", F.lit(None).cast("string")))
+
+
+def discover(base: DataFrame, rounds: int = 3, confident: float = 0.9, informed: int = 2) -> DataFrame:
     """Rows (doc_id, check, kind, start, stop) that the bootstrapped patterns add to ``base``."""
-    over = lambda kind, t: F.exists(F.col(kind), lambda s: (s["start"] < t["stop"]) & (s["stop"] > t["start"]))
-
-    def known(t: Column) -> Column:
-        kind = F.lit(None).cast("string")
-        for k in reversed(KINDS):
-            kind = F.when(over(k, t), k).otherwise(kind)
-        return kind
-
-    word = F.lower(F.regexp_extract(F.col("t.gap"), r"([^\x20\x09-\x0D]+)[\x20\x09-\x0D]*$", 1))
-    marked = F.transform("tokens", lambda t: F.struct(t["start"].alias("start"), t["stop"].alias("stop"), t["value"].alias("value"), t["gap"].alias("gap"), known(t).alias("kind")))
-    rows = base.select("doc_id", "check", F.explode(marked).alias("t")).select(
-        "doc_id", "check", F.col("t.start").alias("start"), F.col("t.stop").alias("stop"), F.col("t.value").alias("value"), F.col("t.kind").alias("kind"), word.alias("cue"), shape(F.col("t.value")).alias("shape")
-    )
-    rows = cut(rows.filter("cue != ''"))
-    # the graph: a row per pattern and instance, with how often they meet and the seeds' kinds
-    graph = rows.groupBy("cue", "shape", "value").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("kind").isNotNull().cast("int")).alias("seed"))
-    graph = cut(graph.withColumn("score", F.col("seed").cast("double")))
+    c = F.col
+    rows = instances(base).withColumn("shape", shape(c("value")))
+    rows = cut(rows.withColumns({"before": F.concat(F.lit("<"), _cue(c("left"), True)), "after": F.concat(F.lit(">"), _cue(c("right"), False))}).drop("left", "right"))
+    # the graph: a row per pattern (cue and shape) and instance, with how often they meet
+    met = rows.select("value", "shape", "kind", F.explode(F.array("before", "after")).alias("cue"))
+    graph = met.groupBy("cue", "shape", "value").agg(F.count(F.lit(1)).alias("n"), F.max(c("kind").isNotNull().cast("int")).alias("seed"))
+    graph = cut(graph.withColumn("score", c("seed").cast("double")))
+
+    def asked(graph: DataFrame) -> DataFrame:
+        """Adds what an instance's pattern says of it, the instance itself left out."""
+        totals = lambda keys, s, n: graph.groupBy(*keys).agg(F.sum(c("score") * c("n")).alias(s), F.sum("n").alias(n), F.sum("seed").alias(f"{n}_seeds"))
+        joined = graph.join(totals(["cue", "shape"], "ps", "pn"), ["cue", "shape"]).join(totals(["shape"], "qs", "qn").drop("qn_seeds"), "shape")
+        own = c("score") * c("n")
+        coarse = (c("qs") - own) / F.greatest(c("qn") - c("n"), F.lit(1))
+        return joined.withColumn("says", (c("ps") - own + coarse) / (c("pn") - c("n") + 1))
+
     for _ in range(rounds):
-        patterns = graph.groupBy("cue", "shape").agg((F.sum(F.col("score") * F.col("n")) / (F.sum("n") + 1)).alias("p"))
-        carried = graph.join(patterns, ["cue", "shape"])
-        scores = carried.groupBy("value").agg(F.greatest(F.max("seed").cast("double"), F.sum(F.col("p") * F.col("n")) / F.sum("n")).alias("s"))
-        graph = cut(graph.drop("score").join(scores.withColumnRenamed("s", "score"), "value").select("cue", "shape", "value", "n", "seed", "score"))
-    patterns = graph.groupBy("cue", "shape").agg((F.sum(F.col("score") * F.col("n")) / (F.sum("n") + 1)).alias("p")).filter(F.col("p") >= confident)
-    kinds = rows.filter("kind is not null").groupBy("cue", "shape", "kind").agg(F.count(F.lit(1)).alias("n"))
-    kinds = kinds.groupBy("cue", "shape").agg(F.max(F.struct("n", "kind")).alias("k")).select("cue", "shape", F.col("k.kind").alias("as_kind"))
-    good = graph.filter((F.col("score") >= confident) & (F.col("seed") == 0)).select("cue", "shape", "value").join(patterns, ["cue", "shape"]).join(kinds, ["cue", "shape"])
-    new = rows.filter("kind is null").join(good.select("cue", "shape", "value", "as_kind"), ["cue", "shape", "value"])
-    return new.select("doc_id", "check", F.col("as_kind").alias("kind"), "start", "stop").distinct()
+        scores = asked(graph).groupBy("value").agg(F.greatest(F.max("seed").cast("double"), F.sum(c("says") * c("n")) / F.sum("n")).alias("score"))
+        graph = cut(graph.drop("score").join(scores, "value").select("cue", "shape", "value", "n", "seed", "score"))
+    counts = rows.filter("kind is not null").select("shape", "kind", F.explode(F.array("before", "after")).alias("cue"))
+    kinds = counts.groupBy("cue", "shape", "kind").agg(F.count(F.lit(1)).alias("n")).groupBy("cue", "shape").agg(F.max(F.struct("n", "kind")).alias("k"))
+    good = asked(graph).filter((c("seed") == 0) & (c("score") >= confident) & (c("pn_seeds") >= informed)).select("cue", "shape", "value")
+    good = good.join(kinds.select("cue", "shape", c("k.kind").alias("as_kind"), c("k.n").alias("weight")), ["cue", "shape"])
+    good = good.groupBy("value", "shape").agg(F.max(F.struct("weight", "as_kind")).alias("k")).select("value", "shape", c("k.as_kind").alias("as_kind"))
+    new = rows.filter("kind is null").join(good, ["value", "shape"]).select("doc_id", "check", c("as_kind").alias("kind"), "start", "stop")
+    secrets = rows.filter("kind = 'secret'").select("doc_id", "check", "kind", "start", "stop")
+    return new.union(secrets).distinct()
 
 
 def find(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """Rows (doc_id, check, one array of base spans per kind, added), one per document.
 
-    ``added`` are the spans (kind, start, stop) that the patterns discovered.
+    ``added`` are the spans (kind, start, stop) of secrets and of what the patterns discovered.
     """
     base = stage(base_table(documents, id_col, text_col), "pii")
     extra = discover(base, **options).groupBy(F.col("doc_id").alias("e_id"), F.col("check").alias("e_check")).agg(F.sort_array(F.collect_list(F.struct("kind", "start", "stop"))).alias("added"))
-    slim = base.drop("tokens")
+    bare = [F.transform(k, lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"))).alias(k) for k in KINDS]
+    slim = base.select("doc_id", "check", *bare)
     joined = slim.join(extra, slim["doc_id"].eqNullSafe(extra["e_id"]) & (slim["check"] == extra["e_check"]), "left").drop("e_id", "e_check")
     return joined.withColumn("added", F.coalesce("added", F.array().cast("array<struct<kind:string,start:int,stop:int>>")))
 
@@ -154,12 +219,12 @@ def _listed(found: Column, kind: str) -> Column:
 def _of(kind: str) -> Column:
     """All spans of a kind, by start."""
     added = F.transform(F.filter("added", lambda s: s["kind"] == kind), lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop")))
-    return F.sort_array(F.concat(F.col(kind), added))
+    return F.sort_array(F.concat(F.col(kind), added)) if kind in KINDS else F.sort_array(added)
 
 
 def digests(found: DataFrame) -> DataFrame:
     base = F.array_join(F.concat(*[_listed(F.col(k), k) for k in KINDS]), ",")
-    full = F.array_join(F.concat(*[_listed(_of(k), k) for k in KINDS]), ",")
+    full = F.array_join(F.concat(*[_listed(_of(k), k) for k in ALL_KINDS]), ",")
     return found.select("doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS], F.sha2(base, 256).alias("base_sha256"), full.alias("spans"))
 
 
@@ -182,7 +247,7 @@ def redact(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The documents with every span masked, with all their columns; null texts stay null."""
     found = find(documents, id_col, text_col, **options)
     with_kind = lambda k: F.transform(_of(k), lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), F.lit(k).alias("kind")))
-    spans = found.select(F.col("doc_id").alias("__id"), F.col("check").alias("__check"), F.concat(*[with_kind(k) for k in KINDS]).alias("__spans"))
+    spans = found.select(F.col("doc_id").alias("__id"), F.col("check").alias("__check"), F.concat(*[with_kind(k) for k in ALL_KINDS]).alias("__spans"))
     spans = spans.filter(F.size("__spans") > 0).dropDuplicates(["__id", "__check"])
     keyed = documents.withColumn("__hash", F.xxhash64(text_or_empty(F.col(text_col))))
     joined = keyed.join(spans, keyed[id_col].eqNullSafe(spans["__id"]) & (keyed["__hash"] == spans["__check"]), "left")

@@ -90,6 +90,15 @@ _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvw
 _REACH = """reach(v, u) AS (SELECT v, v FROM verts UNION SELECT r.v, l.b FROM reach r JOIN links l ON l.a = r.u),
  comp AS (SELECT v, min(u) AS component_id FROM reach GROUP BY v)"""
 
+ORACLE_SQL["op3_mix_sources"] = f"""WITH d AS (SELECT doc_id, source, len({_WORDS.format("coalesce(text, '')")})::BIGINT AS size, md5('17:' || coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, '')) AS k FROM documents),
+ s AS (SELECT source, sum(size)::BIGINT AS source_size, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0 WHEN 1 THEN 2.0 ELSE 1.0 END::DOUBLE AS w FROM d GROUP BY source),
+ l AS (SELECT *, 3.0::DOUBLE * source_size AS cap, (sum(source_size) OVER () - coalesce(sum(3.0::DOUBLE * source_size) OVER (ORDER BY 3.0::DOUBLE * source_size / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(w) OVER (ORDER BY 3.0::DOUBLE * source_size / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM s),
+ f AS (SELECT *, arg_min(level, cap / w) FILTER (cap > level * w) OVER () AS final FROM l),
+ t AS (SELECT source, source_size, CASE WHEN cap <= level * w OR final IS NULL THEN cap ELSE final * w END AS target FROM f),
+ p AS (SELECT d.doc_id, d.size, t.source_size, t.target, floor(t.target + 1e-6)::BIGINT AS b, sum(d.size) OVER (PARTITION BY d.source ORDER BY d.k, d.doc_id ROWS UNBOUNDED PRECEDING) - d.size AS before FROM d JOIN t ON t.source IS NOT DISTINCT FROM d.source),
+ r AS (SELECT *, CASE WHEN source_size > 0 THEN least(b // source_size, 3) ELSE 0 END AS rounds FROM p)
+SELECT doc_id, size, source_size, target, (rounds * size + greatest(0, least(size, b - rounds * source_size - before)))::BIGINT AS taken FROM r"""
+
 ORACLE_SQL["op4_near_duplicates"] = f"""WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format(f"coalesce({_LOWER}, '')")} AS ws FROM documents),
  s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 4 THEN list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i+3], ' ')) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE []::VARCHAR[] END) AS g FROM w),
  n AS (SELECT w.doc_id, count(g) AS n FROM w LEFT JOIN s USING (doc_id) GROUP BY w.doc_id),

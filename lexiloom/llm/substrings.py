@@ -259,8 +259,8 @@ def remove_repeats(documents: DataFrame, width: int = 35, levels: Sequence[int]
         texts = texts.withColumn("alone", F.coalesce("alone", none("long")))
         texts = stage(narrow(texts, width, level), f"stretches{k}")
         del alone
-    single = windows(texts, width).groupBy("high", "low").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*KEY, "place")).alias("at")).filter("n = 1")
-    single = single.select("at.*").groupBy(*KEY).agg(F.collect_list("place").alias("single"))
+    single = windows(texts, width).groupBy("high", "low").agg(F.count(F.lit(1)).alias("n"), *[F.min(c).alias(c) for c in (*KEY, "place")]).filter("n = 1")
+    single = single.groupBy(*KEY).agg(F.collect_list("place").alias("single"))
     left = texts.filter("copies = 1").join(single, [*KEY], "left").withColumn("single", F.coalesce("single", none("int")))
     left = without(left, width).filter("n_removed > 0").withColumn("kept_sha", F.sha2("kept", 256))
     copied = classes.filter("copies > 1").select("class", "copies")

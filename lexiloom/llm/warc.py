@@ -174,7 +174,9 @@ def decide(pages: DataFrame, revisit_from: int = 1000, id_col: str = "page_id",
     rows = rows.withColumns({"size": F.octet_length("payload").cast("long"), "digest": F.sha1("payload")})
     rows = rows.withColumn("same", F.when(F.col("size") >= revisit_from, F.sha2("payload", 256)))
     groups = rows.filter("same is not null").groupBy("same").agg(F.max("page_id").alias("kept"), F.count(F.lit(1)).alias("n")).filter("n > 1 and kept is not null")
-    rows = rows.join(groups.select(F.col("same").alias("g"), "kept"), F.col("same") == F.col("g"), "left")
+    # payloads that can't repeat are dealt out by their page, so that their missing key is no hot one
+    rows = rows.withColumn("key", F.coalesce("same", F.concat(F.lit("page "), F.coalesce(F.col("page_id").cast("string"), F.sha1("payload")))))
+    rows = rows.join(groups.select(F.col("same").alias("g"), "kept"), F.col("key") == F.col("g"), "left")
     refers = F.when(~F.col("page_id").eqNullSafe(F.col("kept")), F.col("kept"))
     return rows.withColumn("refers_to", refers).select("page_id", "url", F.when(F.col("refers_to").isNull(), F.col("payload")).alias("payload"), "size", "digest", "refers_to")
 
