@@ -1,8 +1,15 @@
-"""From raw documents to token ids: quality, near duplicates, personal data, mixing, encoding."""
+"""From raw documents to token ids: quality, near duplicates, personal data, mixing, encoding.
+
+Defined cases, in every stage: null texts count as empty ones and stay null where a text is kept;
+rows without an id are documents like others; of rows that repeat id and text, or that share an
+id, the second stage keeps one; empty tables give empty tables; columns beyond those of documents
+are kept, whatever they are called. n_chars is null only before a stage that sets it.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lexiloom.llm import minhash, mixing, pii, quality
 from lexiloom.llm.common import stage, table
@@ -21,14 +28,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, personal data masked; n_chars follows the new text."""
-    from pyspark.sql import functions as F
-
     return pii.redact(docs).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
-    return mixing.repeat(docs)
+    """Documents as often as the mix takes them; the one at a source's cut with its first words, and n_chars follows."""
+    return mixing.repeat(docs).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
