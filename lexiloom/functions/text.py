@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -100,10 +102,24 @@ def lower_first(text: Column) -> Column:
 
 def cause_prompt(premise: Column, question: Column) -> Column:
     """A premise without its full stop, continued by its cause or effect."""
-    bare = F.regexp_replace(F.rtrim(premise), r"\.$", "")
+    bare = F.regexp_replace(F.regexp_replace(premise, f"{ANY_SPACE}$", ""), r"\.\z", "")
     return F.concat(bare, F.when(question == "cause", F.lit(" because")).otherwise(F.lit(" so")))
 
 
+#: What an entailment question asks and the answers it allows, in the order of the labels.
+ENTAILMENT_QUESTION, ENTAILMENT_CHOICES = " True, False, or Neither?\nAnswer:", (" True", " False", " Neither")
+
+
+def entailment_prompt(premise: Column, hypothesis: Column) -> Column:
+    """A premise and the question whether a hypothesis follows; the choices are ENTAILMENT_CHOICES."""
+    return F.concat(premise, F.lit("\nQuestion: "), hypothesis, F.lit(ENTAILMENT_QUESTION))
+
+
+def cause_choices(*choices: Column) -> Column:
+    """Continuations of a cause prompt: a blank and the choice with a small first letter."""
+    return F.array(*[F.concat(F.lit(" "), lower_first(c)) for c in choices])
+
+
 def answer_prompt(context: Column, question: Column) -> Column:
     return F.concat(context, F.lit("\nQuestion: "), question, F.lit("\nAnswer:"))
 
@@ -138,6 +154,68 @@ def alpha3(code: Column) -> Column:
     return F.when(F.length(base) == 2, F.coalesce(F.try_element_at(table, base), code)).when(F.length(base) == 3, base).otherwise(code)
 
 
+def display_name(code: Column, names: dict[str, str]) -> Column:
+    """A language's name by its normalised code, without a clarifier in brackets; the raw code where there is none."""
+    table = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
+    return F.coalesce(F.regexp_replace(F.try_element_at(table, alpha3(code)), r" \(individual language\)", ""), code)
+
+
+def script_hint(code: Column, available: list[str]) -> Column:
+    """The script of a code (or a bare script) if it is available, else Latn if that is, else the first."""
+    default = "Latn" if "Latn" in available else min(available)
+    script = F.coalesce(script_last(code), code)
+    return F.when(script.isin(available), script).otherwise(default)
+
+
+def verse_id(verses: Column) -> Column:
+    """The id of a list of verses."""
+    return F.array_join(verses, ";;")
+
+
+#: Words that only qualify the name of a language.
+QUALIFIERS = ("standard", "western", "eastern", "northern", "southern", "central", "coastal", "north", "south", "east", "west", "upper", "lower", "greater")
+
+
+def _normal_form(text: Column, form: str) -> Column:
+    """A Unicode normal form; Spark has no built-in for it."""
+
+    @F.pandas_udf("string")
+    def run(batch: pd.Series) -> pd.Series:
+        return batch.map(lambda t: None if t is None else unicodedata.normalize(form, t))
+
+    return run(text)
+
+
+def composed_words(text: Column) -> Column:
+    """Lower-cased words of the composed form (NFC), so that both ways to write an accent are one word."""
+    return words(_normal_form(text, "NFC"))
+
+
+def plain_name(name: Column) -> Column:
+    """A name without quotes, hyphens, accents and double blanks."""
+    bare = F.replace(F.replace(F.translate(name, "ʼ’", "''"), F.lit("'"), F.lit("")), F.lit("-"), F.lit(" "))
+    marks = F.regexp_replace(_normal_form(bare, "NFKD"), r"\p{M}+", "")
+    return F.trim(F.regexp_replace(marks, ANY_SPACE, " "))
+
+
+def name_candidates(name: Column) -> Column:
+    """Names to look a language up by, the most specific first, each once.
+
+    The name without brackets, its plain form, that without a qualifier in front, its last and its first word.
+    """
+    low = F.trim(F.regexp_replace(F.lower(name), r"\(.*?\)", ""))
+
+    def listed(pair: Column) -> Column:
+        parts = F.split(pair["plain"], " ")
+        rest = F.array_join(F.slice(parts, 2, F.size(parts)), " ")
+        none = F.array().cast("array<string>")
+        qualified = F.when(parts[0].isin(list(QUALIFIERS)), F.array(rest)).otherwise(none)
+        more = F.when(F.size(parts) > 1, F.concat(qualified, F.array(F.element_at(parts, -1), parts[0]))).otherwise(none)
+        return F.array_distinct(F.concat(F.array(pair["low"], pair["plain"]), more))
+
+    return once(F.struct(low.alias("low"), plain_name(low).alias("plain")), listed)
+
+
 def file_stem(name: Column) -> Column:
     return F.lower(F.replace(name, F.lit(" "), F.lit("")))
 
@@ -162,6 +240,14 @@ def token_string(data: Column) -> Column:
     return F.when(F.octet_length(data) > 0, F.array_join(shown, "")).otherwise(F.lit(""))
 
 
+def token_bytes(shown: Column) -> Column:
+    """The bytes of a token's visible form, the inverse of ``token_string``; null if a character stands for no byte."""
+    places = {c: f"{b:02X}" for b, c in enumerate(byte_to_unicode())}
+    table = F.create_map(*[F.lit(x) for pair in places.items() for x in pair])
+    digits = F.transform(characters(shown), lambda c: F.try_element_at(table, c))
+    return F.when(F.exists(digits, lambda d: d.isNull()), F.lit(None)).otherwise(F.unhex(F.array_join(digits, "")))
+
+
 def spans_from_boundaries(data: Column, ends: Column) -> Column:
     """Cuts bytes after every position whose mark is 1 and at the end."""
     n = F.size(ends)

@@ -35,6 +35,11 @@ def per_item(found: DataFrame) -> DataFrame:
     return found.groupBy("item_id").agg(F.countDistinct("shingle").alias("n_shingles"), F.countDistinct("doc_id").alias("n_docs"), F.min("shingle").alias("first_shingle"))
 
 
+def matched(found: DataFrame) -> DataFrame:
+    """The sorted distinct shingles that each item shares with the corpus; a list is bounded by the item's own shingles."""
+    return found.groupBy("item_id").agg(F.array_sort(F.collect_set("shingle")).alias("shingles"))
+
+
 def summary(items: DataFrame, found: DataFrame, corpus: DataFrame, text: str = "text") -> DataFrame:
     """One row: items, contaminated items, their rate, documents scanned (those with text)."""
     n = items.agg(F.count(F.lit(1)).alias("n_items"))

@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Uses the cluster's shared folder; only where none is set, as in tests, a temporary one."""
+    """Uses the cluster's shared folder; only on a single machine, as in tests, a temporary one where none is set."""
     if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lexiloom-"))
 
 
@@ -45,6 +47,19 @@ def prefix_sums(df: DataFrame, order: Sequence[str | Column], values: dict[str,
     return joined.select(*columns, *[(F.col(k) + F.col(f"__{k}")).alias(k) for k in values])
 
 
+def numbered_within(df: DataFrame, by: str, order: str, name: str) -> DataFrame:
+    """Adds the row's place among those with the same ``by``, from 1; ``order`` tells them apart.
+
+    Only these two columns are numbered, over ranges of both together, so neither a frequent value
+    nor a long text meets a single task; a join on both brings the place back.
+    """
+    slim = numbered(df.select(F.col(by).alias("__by"), F.col(order).alias("__order")), ["__by", "__order"], "__at")
+    first = slim.groupBy(F.col("__by").alias("__key")).agg(F.min("__at").alias("__first"))
+    placed = slim.join(first, F.col("__by").eqNullSafe(F.col("__key"))).select("__by", "__order", (F.col("__at") - F.col("__first") + 1).alias("__place"))
+    joined = df.join(placed, F.col(by).eqNullSafe(F.col("__by")) & F.col(order).eqNullSafe(F.col("__order")))
+    return joined.withColumn(name, F.col("__place")).drop("__by", "__order", "__place")
+
+
 def numbered(df: DataFrame, order: Sequence[str | Column], name: str = "rn") -> DataFrame:
     """Adds the row's place in the global order, from 1."""
     return prefix_sums(df, order, {name: F.lit(1).cast("long")})

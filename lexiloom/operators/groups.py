@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexiloom.functions.text import short_code
+from lexiloom.functions.text import alpha3, short_code
+from lexiloom.operators.frames import numbered_within
 
 
 def parallel(df: DataFrame, order: str, lang: str = "lang", text: str = "text") -> DataFrame:
-    """Makes groups of the k-th rows of every language."""
-    place = F.row_number().over(Window.partitionBy(lang).orderBy(order))
-    return df.select(place.cast("long").alias("group_id"), F.col(lang).alias("lang"), F.col(text).alias("text"))
+    """Makes groups of the k-th rows of every language; ``order`` tells a language's rows apart."""
+    rows = numbered_within(df.select(order, lang, text), lang, order, "group_id")
+    return rows.select("group_id", F.col(lang).alias("lang"), F.col(text).alias("text"))
 
 
 def intersected(groups: DataFrame, langs: list[str]) -> DataFrame:
@@ -45,6 +46,36 @@ def language_overlap(train: DataFrame, dev: DataFrame, lang: str = "lang") -> Da
     return t.join(d, lang, "full").select(lang, place.alias("place"))
 
 
+def pooled_by_language(rows: DataFrame, lang: str = "lang") -> DataFrame:
+    """Rows under their normalised language, so that differently spelt codes of one language are pooled; ``raw`` keeps the code."""
+    return rows.withColumn("raw", F.col(lang)).withColumn(lang, alpha3(F.col("raw")))
+
+
+def raw_codes(pooled: DataFrame, lang: str = "lang") -> DataFrame:
+    """The codes that each normalised language was made of, with the number of rows."""
+    codes = F.array_join(F.array_sort(F.collect_set("raw")), ",")
+    return pooled.groupBy(lang).agg(codes.alias("codes"), F.count(F.lit(1)).alias("n"))
+
+
+def merged_sources(first: DataFrame, second: DataFrame, overrides: DataFrame, key: str = "code", value: str = "sources") -> DataFrame:
+    """Sources by code: those of both tables one after another, or an override's instead."""
+    a, b, c = (df.select(key, F.col(value).alias(n)) for df, n in ((first, "a"), (second, "b"), (overrides, "c")))
+    joined = a.join(b, key, "full").join(c, key, "full")
+    return joined.select(key, F.coalesce("c", F.when(F.coalesce("a", "b").isNotNull(), F.concat_ws(",", "a", "b"))).alias(value))
+
+
+def canonical_files(entries: DataFrame, lang: str = "lang", file: str = "file", order: str = "first_seen") -> DataFrame:
+    """Each language's file with the most entries (the first seen of equals), its entries, and the number of other files."""
+    sizes = entries.groupBy(lang, file).agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("seen"))
+    best = F.max(F.struct("n", (-F.col("seen")).alias("s"), file))
+    return sizes.groupBy(lang).agg(best.alias("b"), (F.count(F.lit(1)) - 1).alias("alternatives")).select(lang, F.col(f"b.{file}").alias(file), F.col("b.n").alias("entries"), "alternatives")
+
+
+def known_sizes(results: DataFrame, sizes: DataFrame, key: str = "tokenizer", size: str = "vocab_size") -> DataFrame:
+    """Results of those tokenizers whose vocabulary size is known."""
+    return results.join(sizes.filter(F.col(size).isNotNull()), key)
+
+
 def unresolved(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return left.join(right, key, "left_anti")
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiloom.functions.text import word_count
+from lexiloom.operators.frames import prefix_sums
 from lexiloom.operators.groups import with_anchor
 
 
@@ -49,11 +50,13 @@ def renyi(freq: DataFrame, alpha: float = 2.5, keys: list[str] | None = None, co
 
 
 def gini(df: DataFrame, value: str, keys: list[str] | None = None) -> DataFrame:
-    """Gini coefficient per key; ranks come from counts of distinct values, so one key's rows need no single task."""
+    """Gini coefficient per key, or over all rows; ranks come from counts of distinct values and running sums over ranges of them."""
     by = keys or []
     tally = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("m"))
-    upto = F.sum("m").over(Window.partitionBy(*by).orderBy(value))
-    rows = tally.withColumn("upto", upto)
+    if by:
+        rows = tally.withColumn("upto", F.sum("m").over(Window.partitionBy(*by).orderBy(value)))
+    else:
+        rows = prefix_sums(tally, [value], {"upto": "m"})
     # the m equal values have ranks upto-m+1 to upto
     ranks = F.col(value) * (F.col("m") * (2 * F.col("upto") - F.col("m") + 1) / 2)
     sums = rows.groupBy(*by).agg(F.sum(ranks).alias("r"), F.sum(F.col(value) * F.col("m")).alias("s"), F.sum("m").alias("n"))
@@ -106,6 +109,57 @@ def mixed_anchor(counted: DataFrame, manifest: DataFrame, measure: str = "n_toke
     return pairs.groupBy("anchor", "lang").agg((F.sum(measure) / F.sum("base")).alias("parity"))
 
 
+def require_anchors(groups: DataFrame, anchors: list[str]) -> DataFrame:
+    """The groups themselves; an error if one of them has none of the anchor languages."""
+    bare = groups.groupBy("group_id").agg(F.max(F.col("lang").isin(anchors).cast("int")).alias("has")).filter("has = 0").limit(1).collect()
+    if bare:
+        raise ValueError(f"group {bare[0]['group_id']} has none of the anchors {', '.join(anchors)}")
+    return groups
+
+
+def panel(counted: DataFrame, manifest: DataFrame, freq: DataFrame | None = None) -> DataFrame:
+    """Per language what compares across anchors: compression and fertility, and with ``freq`` the Rényi efficiency.
+
+    Tokenizers that only count tokens have no frequencies; their ``renyi`` is null, not 0.
+    """
+    langs = manifest.select("lang").union(manifest.select(F.col("anchor").alias("lang"))).distinct()
+    per = by_lang(counted.join(langs, "lang", "left_semi")).select("lang", "compression", "fertility")
+    return per.join(renyi(freq), "lang", "left") if freq is not None else per.withColumn("renyi", F.lit(None).cast("double"))
+
+
+def morphology_spread(per_lang: DataFrame) -> DataFrame:
+    """Greatest over least positive fertility and compression of a panel; 1 without any."""
+    over = lambda c: F.coalesce(F.max(F.when(F.col(c) > 0, F.col(c))) / F.min(F.when(F.col(c) > 0, F.col(c))), F.lit(1.0))
+    return per_lang.agg(over("fertility").alias("fertility_spread"), over("compression").alias("compression_spread"))
+
+
+def counted_or_failed(calls: DataFrame, count: str = "n_tokens") -> tuple[DataFrame, DataFrame]:
+    """Calls with a count, and per language the number of calls and of those that failed (null count)."""
+    tally = calls.groupBy("lang").agg(F.count(F.lit(1)).alias("calls"), F.sum(F.col(count).isNull().cast("long")).alias("failed"))
+    return calls.filter(F.col(count).isNotNull()), tally
+
+
+def target_rate(sequences: DataFrame, n_tokens: Column, size: Column) -> DataFrame:
+    """Mean bytes over mean tokens of a sample: the rate a plain vocabulary reaches."""
+    return sequences.agg(ratio(F.avg(size), F.avg(n_tokens)).alias("target_rate"))
+
+
+def lang_targets(parities: DataFrame, anchor_rate: float, floor: float, ceiling: float) -> DataFrame:
+    """Per language the anchor's rate times its byte parity, kept between two limits."""
+    return parities.select("lang", F.greatest(F.lit(floor), F.least(F.lit(ceiling), anchor_rate * F.col("parity"))).alias("target"))
+
+
+def mean_loss(losses: DataFrame, value: str = "loss") -> DataFrame:
+    """Mean loss of a fixed set of batches; not a number without any."""
+    return losses.agg(F.coalesce(F.avg(value), F.lit(float("nan"))).alias("loss"))
+
+
+def training_budget(params: Column, tokens_per_param: Column) -> dict[str, Column]:
+    """Planned tokens and floating-point operations (6 per parameter and token) of a model."""
+    tokens = params * tokens_per_param
+    return {"tokens": tokens, "flops": 6 * params * tokens}
+
+
 def rate_band(counted: DataFrame, anchor: str, alpha: float = 0.25, margin: float = 1.0, floor: float = 0.05, ceiling: float = 0.9, beta_floor: float = 0.02) -> DataFrame:
     """Per language an upper rate from its byte parity and a lower one from how its lengths vary."""
     lengths = counted.groupBy("lang").agg((F.stddev_pop("n_bytes") / F.avg("n_bytes")).alias("cv"))
@@ -117,10 +171,10 @@ def rate_band(counted: DataFrame, anchor: str, alpha: float = 0.25, margin: floa
 
 
 def rate_factor(step: Column, warmup: int, total: int, shape: str = "cosine") -> Column:
-    """Learning-rate factor of a step: linear warm-up, then constant, linear or cosine decay."""
+    """Learning-rate factor of a step: linear warm-up from 0, then constant, linear or cosine decay."""
     done = F.least(F.lit(1.0), (step - warmup) / max(1, total - warmup))
     after = {"constant": F.lit(1.0), "linear": 1 - done, "cosine": 0.5 * (1 + F.cos(F.pi() * done))}[shape]
-    return F.when(step < warmup, (step + 1) / max(1, warmup)).otherwise(after)
+    return F.when(step < warmup, step / max(1, warmup)).otherwise(after)
 
 
 def extremes(values: DataFrame, value: str, lang: str = "lang") -> DataFrame:

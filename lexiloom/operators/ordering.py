@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lexiloom.operators.frames import numbered, prefix_sums
+from lexiloom.operators.frames import numbered, numbered_within, prefix_sums
 
 
 def interleave(df: DataFrame, source: str, order: str) -> DataFrame:
-    """Round robin over sources: adds ``rk``, the row's turn; the order is (rk, source)."""
-    return df.withColumn("rk", F.row_number().over(Window.partitionBy(source).orderBy(order)))
+    """Round robin over sources: adds ``rk``, the row's turn (in place of a column of that name); the order is (rk, source).
+
+    ``order`` tells the rows of a source apart.
+    """
+    return numbered_within(df, source, order, "rk")
 
 
 def first_n(df: DataFrame, n: int, by: str, order: str) -> DataFrame:
@@ -95,24 +100,33 @@ def same_signature(groups: DataFrame, k: int) -> DataFrame:
 
 
 def trend_flags(df: DataFrame, order: str, fairness: str, compression: str) -> DataFrame:
-    """Whether each measure is lower than three windows before."""
+    """Whether each measure, and whether both, are lower than three windows before; not so where there is none."""
     w = Window.orderBy(order)
-    return df.withColumn("fairness_falls", F.col(fairness) < F.lag(fairness, 3).over(w)).withColumn("compression_falls", F.col(compression) < F.lag(compression, 3).over(w))
+    falls = {f"{name}_falls": F.coalesce(F.col(c) < F.lag(c, 3).over(w), F.lit(False)) for name, c in (("fairness", fairness), ("compression", compression))}
+    return df.withColumns(falls).withColumn("both_fall", F.col("fairness_falls") & F.col("compression_falls"))
 
 
 def reward_to_go(df: DataFrame, episode: str, step: str, reward: str, discount: float) -> DataFrame:
-    """Discounted sum of the rewards from each step on."""
-    w = Window.partitionBy(episode).orderBy(step).rowsBetween(0, Window.unboundedFollowing)
-    ahead = F.collect_list(reward).over(w)
-    total = F.aggregate(F.reverse(ahead), F.lit(0.0), lambda acc, r: acc * discount + r)
-    return df.withColumn("to_go", total)
-
-
-def group_advantage(df: DataFrame, group: str, reward: str) -> DataFrame:
-    """Reward against its group's mean, in standard deviations where there are any."""
-    w = Window.partitionBy(group)
-    mean, spread = F.avg(reward).over(w), F.stddev_pop(reward).over(w)
-    return df.withColumn("advantage", F.when(spread > 0, (F.col(reward) - mean) / spread).otherwise(F.col(reward) - mean))
+    """Discounted sum of the rewards from each step on: one backward pass over each episode, which is a unit of its own."""
+    schema = T.StructType([*df.schema.fields, T.StructField("to_go", T.DoubleType())])
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(step, ascending=False, kind="stable")
+        total, out = 0.0, []
+        for r in pdf[reward].to_numpy(float):
+            total = r + discount * total
+            out.append(total)
+        return pdf.assign(to_go=out)
+
+    return df.groupBy(episode).applyInPandas(run, schema)
+
+
+def group_advantage(df: DataFrame, group: str, lang: str, reward: str) -> DataFrame:
+    """Reward less its group's baseline, the mean of the group's means by language."""
+    means = df.groupBy(group, lang).agg(F.avg(reward).alias("__mean"))
+    baseline = means.groupBy(F.col(group).alias("__group")).agg(F.avg("__mean").alias("__base"))
+    joined = df.join(baseline, F.col(group).eqNullSafe(F.col("__group")))
+    return joined.withColumn("advantage", F.col(reward) - F.col("__base")).drop("__group", "__base")
 
 
 def latest_checkpoints(names: DataFrame, column: str, keep: int) -> DataFrame:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -50,16 +53,82 @@ def family_layout(results: DataFrame, family: str, value: str, key: str = "token
     return results.withColumn("__i", inner).join(starts, family).withColumn("position", F.col("__start") + F.col("__i")).drop("__i", "__start")
 
 
-def family_of(name: Column) -> Column:
-    """The family of a tokenizer by its name; the first rule that fits."""
-    low = F.lower(name)
-    rules = [("parity", "parity"), ("super", "bpe"), ("bpe", "bpe"), ("byte", "byte"), ("char", "char"), ("word", "word")]
-    out = F.lit("other")
-    for part, family in reversed(rules):
-        out = F.when(low.contains(part), family).otherwise(out)
+@dataclass(frozen=True)
+class FamilyRule:
+    """A family and the names that belong to it: listed ones, beginnings, or parts of the lower-cased name."""
+
+    family: str
+    names: tuple[str, ...] = ()
+    starts: tuple[str, ...] = ()
+    parts: tuple[str, ...] = ()
+
+
+#: Families of tokenizers by their names' publishers, in the order in which they are tried.
+FAMILY_RULES = (
+    FamilyRule("OpenAI/tiktoken", starts=("tiktoken:", "openai")),
+    FamilyRule("Anthropic", starts=("anthropic",), parts=("claude",)),
+    FamilyRule("Chinese labs", starts=("Qwen", "deepseek", "moonshotai")),
+    FamilyRule("Meta/Llama", names=("NousResearch/Llama-2-7b-hf",), starts=("meta-llama",)),
+)
+
+
+def family_of(name: Column, own: list[str] | None = None, encoders: list[str] | None = None) -> Column:
+    """The family of a tokenizer by its name: own ones first, then the first rule that fits, then encoders, else Other."""
+    out = F.when(name.isin(encoders or []), "Encoder-only").otherwise("Other")
+    for rule in reversed(FAMILY_RULES):
+        fits = name.isin(list(rule.names))
+        for s in rule.starts:
+            fits = fits | name.startswith(s)
+        for p in rule.parts:
+            fits = fits | F.lower(name).contains(p)
+        out = F.when(fits, rule.family).otherwise(out)
+    return F.when(name.isin(own or []), "This work").otherwise(out)
+
+
+def short_name(name: Column) -> Column:
+    """The last part of a path-like name, with a short prefix for tables of one library."""
+    return F.replace(F.substring_index(name, "/", -1), F.lit("tiktoken:"), F.lit("tk:"))
+
+
+def family_means(parities: DataFrame, family: Column, value: str = "parity", keys: tuple[str, ...] = ("lang",)) -> DataFrame:
+    """Mean per family and key; a family without tokenizers there has no row."""
+    return parities.withColumn("family", family).groupBy("family", *keys).agg(F.avg(value).alias("mean"), F.count(F.lit(1)).alias("n"))
+
+
+def scoped_leaderboard(results: DataFrame, ours: list[str], value: str = "spread", key: str = "tokenizer") -> DataFrame:
+    """A leaderboard of two groups, ours and the others, ranked anew."""
+    return leaderboard(results.withColumn("family", F.when(F.col(key).isin(ours), "This work").otherwise("Other")), value, key)
+
+
+def without_value(results: DataFrame, column: str, key: str = "tokenizer") -> DataFrame:
+    """The keys whose entry lacks a value."""
+    return results.filter(F.col(column).isNull()).select(key)
+
+
+def same_shape(tables: list[DataFrame]) -> DataFrame:
+    """Result tables as one, numbered by their place (``file_idx``); tables of different columns or types are an error."""
+    first = dict(tables[0].dtypes)
+    for i, t in enumerate(tables):
+        if dict(t.dtypes) != first:
+            raise ValueError(f"table {i} has other columns than the first: {sorted(set(first.items()) ^ set(t.dtypes))}")
+    out = None
+    for i, t in enumerate(tables):
+        part = t.select(*tables[0].columns, F.lit(i).alias("file_idx"))
+        out = part if out is None else out.unionByName(part)
     return out
 
 
+def vocabulary_sizes(spark: SparkSession, own: dict[str, int], hidden: list[str], load: dict[str, Callable[[], int]]) -> DataFrame:
+    """Rows (tokenizer, vocab_size, source, error): declared, not published (null), or loaded; a failed load is a row with its error."""
+    rows: list[tuple] = [(k, n, "declared", None) for k, n in own.items()] + [(k, None, "proprietary", None) for k in hidden]
+    for name, get in load.items():
+        try:
+            rows.append((name, int(get()), "loaded", None))
+        except Exception as error:  # whatever a loader raises
+            rows.append((name, None, "loaded", str(error)))
+    return spark.createDataFrame(rows, "tokenizer string, vocab_size long, source string, error string")
+
+
 def heat_cells(parities: DataFrame, n: int, lang: str = "lang", value: str = "parity") -> DataFrame:
     """Cells of the n languages whose greatest parity is highest, with a colour bucket of 40."""
     worst = parities.groupBy(lang).agg(F.max(value).alias("__m")).orderBy(F.col("__m").desc(), lang).limit(n).select(lang)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiloom.functions.text import normalized_answer
+from lexiloom.operators.frames import prefix_sums
 
 
 def best_choice(scores: DataFrame, example: str = "example", choice: str = "choice", value: str = "logprob") -> DataFrame:
@@ -40,16 +41,9 @@ def best_threshold(df: DataFrame, label: str, score: str) -> DataFrame:
     Only distinct scores are tried, from per-score counts, and one above all of them.
     """
     tally = df.groupBy(F.col(score).cast("double").alias("t")).agg(F.sum(F.col(label)).cast("double").alias("pos"), F.sum(1 - F.col(label)).cast("double").alias("neg"))
-    below = Window.orderBy("t").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy()
-    zero = F.lit(0.0)
-    rows = tally.select(
-        "t",
-        F.coalesce(F.sum("pos").over(below), zero).alias("fn"),
-        F.coalesce(F.sum("neg").over(below), zero).alias("tn"),
-        F.sum("pos").over(whole).alias("p"),
-        F.sum("neg").over(whole).alias("n"),
-    )
+    summed = prefix_sums(tally, ["t"], {"__p": "pos", "__n": "neg"})
+    totals = tally.agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
+    rows = summed.crossJoin(F.broadcast(totals)).select("t", (F.col("__p") - F.col("pos")).alias("fn"), (F.col("__n") - F.col("neg")).alias("tn"), "p", "n")  # one row
     none = rows.groupBy().agg((F.max("t") + 1).alias("t"), F.max("p").alias("fn"), F.max("n").alias("tn"), F.max("p").alias("p"), F.max("n").alias("n")).filter("t is not null")
     rows = rows.unionByName(none)
     c = F.col
@@ -58,6 +52,12 @@ def best_threshold(df: DataFrame, label: str, score: str) -> DataFrame:
     return best.select((-c("b.t")).alias("threshold"), c("b.mcc").alias("mcc"))
 
 
+def first_samples(df: DataFrame, by: str, order: str, n: int) -> DataFrame:
+    """The first n raw rows of each ``by``, shown beside aggregates over all rows."""
+    place = F.row_number().over(Window.partitionBy(by).orderBy(order))
+    return df.withColumn("place", place).filter(F.col("place") <= n)
+
+
 def token_f1(df: DataFrame, keys: list[str], prediction: str, reference: str) -> DataFrame:
     """Exact match and token F1 of normalised answers, the best over the references of each key."""
     p, r = normalized_answer(F.col(prediction)), normalized_answer(F.col(reference))

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexiloom.operators.frames import prefix_sums
+
 
 def average_rank(value: str, keys: list[str]) -> Column:
     """Rank with ties sharing the mean of their places; nulls are not expected."""
@@ -15,11 +18,10 @@ def average_rank(value: str, keys: list[str]) -> Column:
 
 
 def tied_ranks(df: DataFrame, value: str, name: str) -> DataFrame:
-    """Average ranks over all rows from counts of distinct values, so that equal values cost one row in the ordering."""
+    """Average ranks over all rows from counts of distinct values, summed up over ranges of values; no task sees them all."""
     tally = df.groupBy(value).agg(F.count(F.lit(1)).alias("__m"))
-    upto = F.sum("__m").over(Window.orderBy(value))
-    ranks = tally.withColumn(name, upto - (F.col("__m") - 1) / 2.0).drop("__m")
-    return df.join(ranks, value)
+    ranks = prefix_sums(tally, [value], {"__upto": "__m"})
+    return df.join(ranks.select(value, (F.col("__upto") - (F.col("__m") - 1) / 2.0).alias(name)), value)
 
 
 def pearson(df: DataFrame, x: str, y: str, keys: list[str] | None = None) -> DataFrame:
@@ -94,6 +96,57 @@ def quadrants(df: DataFrame, x: str, y: str) -> DataFrame:
     return df.crossJoin(F.broadcast(m)).withColumn("quadrant", F.concat_ws("-", side(x, "mx"), side(y, "my"))).drop("mx", "my")  # one row
 
 
+def outlier_lists(df: DataFrame, name: str, x: str, y: str, top: int = 5) -> DataFrame:
+    """The first rows of two quadrants, with their place: high-high by falling values, low-low by rising ones."""
+    sided = quadrants(df.select(name, x, y), x, y)
+    lists = []
+    for quadrant, order in (("high-high", [F.col(x).desc(), F.col(y).desc(), F.col(name)]), ("low-low", [F.col(x), F.col(y), F.col(name)])):
+        first = sided.filter(F.col("quadrant") == quadrant).orderBy(*order).limit(top)
+        lists.append(first.withColumn("place", F.row_number().over(Window.orderBy(*order))))
+    return lists[0].unionByName(lists[1])
+
+
+def box_outliers(df: DataFrame, value: str, keys: list[str]) -> DataFrame:
+    """The rows beyond a box plot's fences."""
+    q = df.groupBy(*keys).agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.75))).alias("__q"))
+    reach = 1.5 * (F.col("__q")[1] - F.col("__q")[0])
+    return df.join(q, keys).filter(~F.col(value).between(F.col("__q")[0] - reach, F.col("__q")[1] + reach)).drop("__q")
+
+
+def anomalies(df: DataFrame, value: str, keys: list[str], name: str, top: int = 10) -> DataFrame:
+    """The rows furthest below their group's mean, in standard deviations: the least ``top`` of all."""
+    return zscores(df, value, keys).orderBy("z", name, *keys).limit(top)
+
+
+def correlations_by(df: DataFrame, key: str, x: str, y: str, least: int = 2) -> DataFrame:
+    """Spearman's rho of each key that has at least ``least`` different values of x, with its two-sided p."""
+    enough = df.groupBy(key).agg(F.countDistinct(x).alias("__k")).filter(F.col("__k") >= least).select(key)
+    got = spearman(df.join(enough, key, "left_semi"), x, y, [key])
+
+    @F.pandas_udf("double")
+    def p_of(rho: pd.Series, n: pd.Series) -> pd.Series:
+        return pd.Series([None if r is None or math.isnan(r) else correlation_p(float(r), int(k)) for r, k in zip(rho, n, strict=True)], dtype="float64")
+
+    return got.withColumn("p", p_of("rho", "n"))
+
+
+def sign_counts(correlations: DataFrame, level: float = 0.05) -> DataFrame:
+    """How many correlations are significantly negative, positive, or neither."""
+    c, sure = F.col, F.coalesce(F.col("p") < level, F.lit(False))
+    one = lambda cond: F.coalesce(F.sum(cond.cast("long")), F.lit(0))
+    return correlations.agg(one(sure & (c("rho") < 0)).alias("negative"), one(sure & (c("rho") > 0)).alias("positive"), one(~(sure & (c("rho") != 0))).alias("neither"))
+
+
+def spread_range(results: DataFrame, value: str = "spread", size: str = "vocab_size") -> DataFrame:
+    """Least and greatest spread, their factor, and the rank correlation with vocabulary size (null under three sizes)."""
+    span = results.agg(F.min(value).alias("least"), F.max(value).alias("greatest")).withColumn("factor", F.col("greatest") / F.col("least"))
+    rho = spearman(results.filter(F.col(size).isNotNull()), size, value)
+    rho = rho.select(F.when(F.col("n") >= 3, F.col("rho")).alias("rho"), F.col("n").alias("sized"))
+    size_ = F.abs("rho")
+    label = F.when(size_ >= 0.7, "strong").when(size_ >= 0.4, "moderate").when(size_ >= 0.2, "weak").when(size_.isNotNull(), "negligible")
+    return span.crossJoin(F.broadcast(rho)).withColumn("strength", label)  # one row each
+
+
 def _beta_fraction(a: float, b: float, x: float) -> float:
     c, d = 1.0, 1 - (a + b) * x / (a + 1)
     d = 1 / (d or 1e-300)

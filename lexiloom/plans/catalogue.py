@@ -196,9 +196,15 @@ def dedup_stats_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(dedup.dedup_stats(dedup.mark_exact(spread_out(docs(spark, sf_dir)), "doc_id"), "lang"))
 
 
-@query(f"""WITH g AS (SELECT doc_id, md5(g) AS g FROM ({SHINGLED})), n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
- c AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common FROM g x JOIN g y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL)
-SELECT a, b, common, round(common / (na.n + nb.n - common), 6) AS jaccard FROM c JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE common / (na.n + nb.n - common) >= 0.8""")
+def pairs_sql(at_least: int = 0) -> str:
+    """Similar pairs of the least documents of classes of equal sets, and of each with its class."""
+    return f"""WITH e AS (SELECT doc_id FROM documents WHERE len({WORDS}) >= {at_least}), g AS (SELECT doc_id, md5(g) AS g FROM ({SHINGLED}) WHERE doc_id IN (SELECT doc_id FROM e)),
+ n AS (SELECT doc_id, count(*) AS n, md5(string_agg(g, '' ORDER BY g)) AS d FROM g GROUP BY doc_id), r AS (SELECT d, min(doc_id) AS rep FROM n GROUP BY d), m AS (SELECT n.*, rep FROM n JOIN r USING (d)), s AS (SELECT g.* FROM g JOIN r ON rep = doc_id),
+ c AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL)
+SELECT a, b, common, round(common / (na.n + nb.n - common), 6) AS jaccard FROM c JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE common / (na.n + nb.n - common) >= 0.8 UNION ALL SELECT rep, doc_id, n, 1.0 FROM m WHERE doc_id <> rep"""
+
+
+@query(pairs_sql())
 def near_dup_pairs_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(dedup.similar_pairs(spread_out(docs(spark, sf_dir)), "doc_id"))
 
@@ -208,7 +214,13 @@ def near_dup_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.minhash_edges(spread_out(docs(spark, sf_dir)), "doc_id")
 
 
-@query()
+#: The greedy rule walks the ids upwards: one step of the recursion settles one document with an earlier neighbour.
+KEPT = f"""WITH RECURSIVE p AS MATERIALIZED ({pairs_sql(50)}), b AS MATERIALIZED (SELECT b, list(a) AS before, row_number() OVER (ORDER BY b) AS i FROM p GROUP BY b),
+ w(i, dropped) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL SELECT b.i, CASE WHEN len(list_filter(b.before, lambda x: NOT list_contains(w.dropped, x))) > 0 THEN list_append(w.dropped, b.b) ELSE w.dropped END FROM w JOIN b ON b.i = w.i + 1)
+SELECT doc_id FROM documents WHERE NOT list_contains((SELECT dropped FROM w ORDER BY i DESC LIMIT 1), doc_id)"""
+
+
+@query(KEPT)
 def near_dup_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = docs(spark, sf_dir)
     edges = dedup.similar_pairs(spread_out(rows), "doc_id", min_words=50).select("a", "b")
@@ -289,10 +301,11 @@ def language_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH d AS (SELECT date_trunc('day', ts)::TIMESTAMP AS day, avg(value) AS fairness, count(*) AS compression FROM events GROUP BY 1)
-SELECT day, coalesce(fairness < lag(fairness, 3) OVER (ORDER BY day), false) AS fairness_falls, coalesce(compression < lag(compression, 3) OVER (ORDER BY day), false) AS compression_falls FROM d""")
+, f AS (SELECT day, coalesce(fairness < lag(fairness, 3) OVER (ORDER BY day), false) AS fairness_falls, coalesce(compression < lag(compression, 3) OVER (ORDER BY day), false) AS compression_falls FROM d)
+SELECT *, fairness_falls AND compression_falls AS both_fall FROM f""")
 def trend_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     days = table(spark, sf_dir, "events").groupBy(F.date_trunc("day", "ts").alias("day")).agg(F.avg("value").alias("fairness"), F.count(F.lit(1)).alias("compression"))
-    return ordering.trend_flags(days, "day", "fairness", "compression").select("day", *[F.coalesce(c, F.lit(False)).alias(c) for c in ("fairness_falls", "compression_falls")])
+    return ordering.trend_flags(days, "day", "fairness", "compression").select("day", "fairness_falls", "compression_falls", "both_fall")
 
 
 @query("""WITH r AS (SELECT conv_id, turn, length(text)::DOUBLE AS reward FROM conversations)
@@ -302,26 +315,34 @@ def reward_to_go(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(ordering.reward_to_go(rows, "conv_id", "turn", "reward", 0.5).select("conv_id", "turn", "to_go"), 4)
 
 
-@query("""SELECT conv_id, turn, round(CASE WHEN s > 0 THEN (r - m) / s ELSE r - m END, 6) AS advantage FROM
- (SELECT conv_id, turn, length(text)::DOUBLE AS r, avg(length(text)) OVER w AS m, stddev_pop(length(text)) OVER w AS s FROM conversations WINDOW w AS (PARTITION BY conv_id))""")
+@query("""WITH r AS (SELECT conv_id, turn, role, length(text)::DOUBLE AS r FROM conversations), b AS (SELECT conv_id, avg(m) AS base FROM (SELECT conv_id, role, avg(r) AS m FROM r GROUP BY ALL) GROUP BY conv_id)
+SELECT conv_id, turn, round(r - base, 6) AS advantage FROM r JOIN b USING (conv_id)""")
 def group_advantage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.length("text").cast("double").alias("r"))
-    return rounded(ordering.group_advantage(rows, "conv_id", "r").select("conv_id", "turn", "advantage"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.length("text").cast("double").alias("r"))
+    return rounded(ordering.group_advantage(rows, "conv_id", "role", "r").select("conv_id", "turn", "advantage"))
+
 
+def cut_sql(limit: int) -> str:
+    """The longest prefix of whole characters of at most ``limit`` bytes."""
+    return f"""CASE WHEN {BYTES} <= {limit} THEN text ELSE left(text, (SELECT count(*) FROM (SELECT sum(octet_length(encode(c))) OVER (ORDER BY i) AS upto FROM
+ (SELECT unnest(string_split(text, '')) AS c, unnest(range(len(string_split(text, '')))) AS i)) WHERE upto <= {limit})::INT) END"""
 
-PREP = f"""SELECT lang, least({BYTES}, 4096) AS cut_bytes, {BYTES} AS n_bytes, text, row_number() OVER (PARTITION BY {KEY} ORDER BY doc_id) AS i FROM documents WHERE length(text) > 0"""
 
+#: What preparation keeps: the first of equal keys in the order of the stream, tokens of the cut text and the end mark.
+CUT_TOKENS = TOKENS.replace("(text,", "(cut,")
+PREP = f"""SELECT lang, n_bytes, cut, len({CUT_TOKENS}) + 1 AS n_tokens FROM (SELECT lang, {BYTES} AS n_bytes, {cut_sql(4096)} AS cut FROM
+ (SELECT *, row_number() OVER (PARTITION BY {KEY} ORDER BY rk, source) AS i FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rk FROM documents) WHERE length(text) > 0) WHERE i = 1)"""
 
-@query(f"SELECT lang, count(*) AS docs, sum(n_bytes)::BIGINT AS bytes, sum(CASE WHEN n_bytes > 4096 THEN 1 ELSE 0 END)::BIGINT AS truncated FROM ({PREP}) WHERE i = 1 GROUP BY lang")
+
+@query(f"SELECT lang, count(*) AS docs, sum(n_tokens)::BIGINT AS tokens, sum(n_bytes)::BIGINT AS bytes, sum(CASE WHEN n_bytes > 4096 THEN 1 ELSE 0 END)::BIGINT AS truncated FROM ({PREP}) GROUP BY lang")
 def prep_accounting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return prep.prepare(spread_out(docs(spark, sf_dir)), "doc_id").accounting.select("lang", "docs", "bytes", "truncated")
+    return prep.prepare(spread_out(docs(spark, sf_dir)), "doc_id").accounting.select("lang", "docs", "tokens", "bytes", "truncated")
 
 
-@query(f"""WITH k AS (SELECT lang, {BYTES} AS n_bytes, len({TOKENS}) + 1 AS n_tokens, row_number() OVER (PARTITION BY {KEY} ORDER BY doc_id) AS i FROM documents WHERE length(text) > 0),
- a AS (SELECT lang, count(*) AS docs, sum(n_tokens)::BIGINT AS tokens, sum(n_bytes)::BIGINT AS bytes FROM k WHERE i = 1 GROUP BY lang)
+@query(f"""WITH a AS (SELECT lang, count(*) AS docs, sum(n_tokens)::BIGINT AS tokens, sum(n_bytes)::BIGINT AS bytes FROM ({PREP}) GROUP BY lang)
 SELECT lang, docs, tokens, bytes, round(tokens / sum(tokens) OVER (), 6) AS token_share, round(bytes / tokens, 6) AS compression FROM a""")
 def prep_lang_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(prep.lang_shares(prep.prepare(spread_out(docs(spark, sf_dir)), "doc_id", options=prep.PrepOptions(max_doc_bytes=None)).accounting))
+    return rounded(prep.lang_shares(prep.prepare(spread_out(docs(spark, sf_dir)), "doc_id").accounting))
 
 
 @query()
@@ -513,11 +534,27 @@ def token_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(scoring.token_f1(rows.join(later, ["conv_id", "turn"]), ["conv_id", "turn"], "text", "reference"))
 
 
-@query()
+def matches_sql(tokens: str, orders: int) -> str:
+    """Clipped common n-grams by role and order of the sides t and u, with the totals of both."""
+    grams = "unnest(list_transform(range(1, len({s}) - n + 2), lambda i: array_to_string({s}[i:i + n - 1], ' ')))"
+    side = lambda s, k: f"SELECT i, role, n, {grams.format(s=s)} AS g, {k} AS s FROM k, (SELECT unnest(range(1, {orders + 1})) AS n) WHERE len({s}) >= n"
+    return f"""SELECT role, n, sum(least(x, y)) AS m, sum(x) AS tx, sum(y) AS ty FROM (SELECT role, i, n, g, count(*) FILTER (s = 1) AS x, count(*) FILTER (s = 2) AS y FROM
+ (WITH k AS (SELECT i, role, {tokens.replace("text", "t")} AS x, {tokens.replace("text", "u")} AS y FROM z) {side("x", 1)} UNION ALL {side("y", 2)}) GROUP BY ALL) GROUP BY ALL"""
+
+
+LETTERS = r"list_filter(string_split(regexp_replace(text, '\s+', '', 'g'), ''), lambda c: c <> '')"
+
+
+@query(f"""WITH a AS (SELECT row_number() OVER () AS i, x.role, x.text AS t, y.text AS u FROM conversations x JOIN conversations y ON y.conv_id = x.conv_id AND y.turn = x.turn + 1), z AS (SELECT * FROM a UNION ALL SELECT i, 'all', t, u FROM a),
+ b AS ({matches_sql(WORDS, 4)}), c AS ({matches_sql(LETTERS, 6)}), l AS (SELECT role, sum(len({WORDS.replace("text", "t")})) AS h, sum(len({WORDS.replace("text", "u")})) AS r FROM z GROUP BY role),
+ q AS (SELECT role, avg(CASE WHEN m > 0 THEN ln(m / tx) END) AS mean, count(*) FILTER (m > 0) AS orders FROM b GROUP BY role),
+ f AS (SELECT role, 100 * sum(CASE WHEN m > 0 THEN 5 * (m / tx) * (m / ty) / (4 * (m / tx) + m / ty) ELSE 0 END) / 6 AS chrf FROM c GROUP BY role)
+SELECT l.role, round(CASE WHEN orders = 4 THEN 100 * CASE WHEN h >= r THEN 1 ELSE exp(1 - r / h) END * exp(mean) ELSE 0 END, 6) AS bleu, round(chrf, 6) AS chrf FROM l JOIN q ON q.role = l.role JOIN f ON f.role = l.role""")
 def bleu_chrf(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations")
     later = rows.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("reference"))
     pairs = rows.join(later, ["conv_id", "turn"]).select("role", "text", "reference")
+    pairs = pairs.unionByName(pairs.withColumn("role", F.lit("all")))
     words = lambda c: tx.words(F.col(c))
     return rounded(scoring.bleu(pairs, "role", words("text"), words("reference")).join(scoring.chrf(pairs, "role", F.col("text"), F.col("reference")), "role"))
 
@@ -584,19 +621,29 @@ def rate_band(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(metrics.rate_band(counted_groups(spark, sf_dir), "en"))
 
 
-@query("SELECT step, round(CASE WHEN step < 10 THEN (step + 1) / 10.0 ELSE 0.5 * (1 + cos(pi() * least(1.0, (step - 10) / 90.0))) END, 6) AS factor FROM (SELECT unnest(range(120)) AS step)")
+@query("SELECT step, round(CASE WHEN step < 10 THEN step / 10.0 ELSE 0.5 * (1 + cos(pi() * least(1.0, (step - 10) / 90.0))) END, 6) AS factor FROM (SELECT unnest(range(120)) AS step)")
 def lr_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(spark.range(120).select(F.col("id").alias("step"), metrics.rate_factor(F.col("id"), 10, 100).alias("factor")))
 
 
-CODES = ["en", "eng_Latn", "ar-MA", "pa-Arab", "ks-Deva", "apc_Arab_nort3139", "twi_Latn_akua1239", "aar_Latn", "???", "12345"]
+#: A bare code, one with a script, with a region, with a script and a variant, a long one, and two that are none.
+CODES = ["de", "deu_Latn", "pt-BR", "zh-Hant", "ru_Cyrl_west1", "kor_Hang", "qqq", "7x", "_"]
+NAMES = {"deu": "German", "por": "Portuguese", "zho": "Chinese", "rus": "Russian (individual language)"}
+ALPHA3_SQL = f"""CASE WHEN regexp_full_match(code, '[A-Za-z]{{2}}([_-].*)?') THEN coalesce(element_at(MAP {{{", ".join(f"'{k}': '{v}'" for k, v in tx.ALPHA3.items())}}}, lower(code[1:2]))[1], code)
+ WHEN regexp_full_match(code, '[A-Za-z]{{3}}([_-].*)?') THEN lower(code[1:3]) ELSE code END"""
 
 
-@query(f"""SELECT code, split_part(code, '_', 1) AS short, CASE WHEN contains(code, '_') THEN substr(code, instr(code, '_') + 1) END AS script_first, CASE WHEN contains(code, '_') THEN list_last(string_split(code, '_')) END AS script_last
-FROM (VALUES {', '.join(f"('{c}')" for c in CODES)}) t(code)""")
+@query(f"""WITH c AS (SELECT code, {ALPHA3_SQL} AS alpha3 FROM (VALUES {', '.join(f"('{c}')" for c in CODES)}) t(code))
+SELECT code, split_part(code, '_', 1) AS short, CASE WHEN contains(code, '_') THEN substr(code, instr(code, '_') + 1) END AS script_first, CASE WHEN contains(code, '_') THEN list_last(string_split(code, '_')) END AS script_last, alpha3,
+ coalesce(replace(element_at(MAP {{{", ".join(f"'{k}': '{v}'" for k, v in NAMES.items())}}}, alpha3)[1], ' (individual language)', ''), code) AS name,
+ CASE WHEN list_last(string_split(code, '_')) IN ('Latn', 'Cyrl') THEN list_last(string_split(code, '_')) ELSE 'Latn' END AS script FROM c""")
 def lang_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col("code")
-    return spark.createDataFrame([(x,) for x in CODES], "code string").select("code", tx.short_code(c).alias("short"), tx.script_first(c).alias("script_first"), tx.script_last(c).alias("script_last"))
+    rows = spark.createDataFrame([(x,) for x in CODES], "code string")
+    return rows.select(
+        "code", tx.short_code(c).alias("short"), tx.script_first(c).alias("script_first"), tx.script_last(c).alias("script_last"), tx.alpha3(c).alias("alpha3"),
+        tx.display_name(c, NAMES).alias("name"), tx.script_hint(c, ["Cyrl", "Latn"]).alias("script"),
+    )
 
 
 @query("""WITH t AS (SELECT n_name, r_name, r_regionkey FROM nation JOIN region ON n_regionkey = r_regionkey)

@@ -8,8 +8,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexiloom.functions.text import file_stem
+from lexiloom.functions.text import ENTAILMENT_CHOICES, answer_prompt, cause_choices, cause_prompt, composed_words, entailment_prompt, file_stem, verse_id
 from lexiloom.operators.frames import numbered
+from lexiloom.operators.groups import intersected
+from lexiloom.operators.ordering import interleave, within_budget
 
 #: How the languages of a source belong together.
 SOURCE_CLASS = {
@@ -25,8 +27,13 @@ SOURCE_CLASS = {
     "plain_text": "monolingual",
     "parquet_text": "monolingual",
     "arrow_text": "monolingual",
+    "english_pairs": "bitext",
+    "streamed_groups": "streamed",
+    "jsonl_budget": "monolingual",
     "synthetic": "synthetic",
 }
+#: What ``all`` pools.
+POOLED = ("jsonl_by_lang", "parquet_by_lang", "pair_rows")
 READERS: dict[str, Callable[..., DataFrame]] = {}
 
 
@@ -192,6 +199,56 @@ def synthetic(spark: SparkSession, langs: Sequence[str], n: int, words: int = 12
     return rows.select("group_id", F.col("l.lang").alias("lang"), F.array_join(F.transform(F.sequence(F.lit(1), F.lit(words)), word), " ").alias("text"))
 
 
+@reader
+def english_pairs(spark: SparkSession, path: str, config: str) -> DataFrame:
+    """JSON rows english, non_english; the other language is in the config's name (en-xx or xx-en). Empty sides are left out."""
+    other = next(k for k in config.split("-", 1) if k != "en")
+    rows = lines(spark, path).select("file", "line", F.from_json("value", "english string, non_english string").alias("j")).select("file", "line", "j.*")
+    rows = _numbered(_present(rows, "english", "non_english"), "file", "line").withColumns({"la": F.lit("en"), "lb": F.lit(other)})
+    return _pair_groups(rows, "la", "english", "lb", "non_english")
+
+
+@reader
+def streamed_groups(spark: SparkSession, path: str) -> DataFrame:
+    """JSON rows {lang, verses, text} of a translation each; verse lists are the groups' ids, empty texts are left out."""
+    rows = lines(spark, path).select(F.from_json("value", "lang string, verses array<string>, text string").alias("j")).select("j.*")
+    rows = _present(rows.select(verse_id(F.col("verses")).alias("id"), "lang", "text"), "text")
+    ids = _numbered(rows.select("id").distinct(), "id")
+    return rows.join(ids, "id").select("group_id", "lang", "text")
+
+
+@reader
+def jsonl_budget(spark: SparkSession, path: str, words: int, lang: str = "und", first: str = "clean", last: str = "noisy") -> DataFrame:
+    """Gzipped JSON lines with a text, file by file until ``words`` words are read, the crossing row included.
+
+    Files whose name has ``first`` come before those with ``last``; others are not read.
+    """
+    rows = lines(spark, path, "*.jsonl.gz").select("file", "line", F.from_json("value", "text string").alias("j")).select("file", "line", F.col("j.text").alias("text"))
+    name = F.substring_index("file", "/", -1)
+    rows = rows.withColumn("noisy", F.when(name.contains(first), 0).when(name.contains(last), 1)).filter("noisy is not null and text is not null")
+    kept = within_budget(rows, words, F.size(composed_words(F.col("text"))), ["noisy", "file", "line"])
+    return _numbered(kept, "noisy", "file", "line").select("group_id", F.lit(lang).alias("lang"), "text")
+
+
+def source_class(source: str) -> str:
+    """How the languages of a source belong together: parallel, bitext, monolingual, streamed or synthetic."""
+    if source not in SOURCE_CLASS:
+        raise ValueError(f"unknown source {source}; there are {', '.join(sorted(SOURCE_CLASS))}")
+    return SOURCE_CLASS[source]
+
+
+def joined_groups(rows: DataFrame, source: str, langs: Sequence[str], training: bool = True) -> DataFrame:
+    """The groups to work on: of a parallel source those that have all languages for training, and all there are otherwise."""
+    rows = rows.filter(F.col("lang").isin(list(langs)))
+    return intersected(rows, list(langs)) if training and source_class(source) == "parallel" else rows
+
+
+def discover(spark: SparkSession, path: str, suffix: str = "jsonl") -> DataFrame:
+    """Rows (stem, file) of the files under a folder with a suffix; names only are read."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"*.{suffix}").load(path).select("path")
+    return found.select(F.regexp_extract("path", rf"([^/]+)\.{suffix}$", 1).alias("stem"), F.col("path").alias("file"))
+
+
 def read_groups(spark: SparkSession, source: str, langs: Sequence[str] | None = None, first_n: int | None = None, **options) -> DataFrame:
     """Rows (group_id, source, lang, text) of a named source; ``first_n`` groups of it at most."""
     if source not in READERS:
@@ -206,7 +263,14 @@ def read_groups(spark: SparkSession, source: str, langs: Sequence[str] | None =
 
 
 def pool_sources(spark: SparkSession, sources: dict[str, dict], langs: Sequence[str] | None = None) -> DataFrame:
-    """Several sources in one table; the synthetic one can't be pooled, nor can languages be restricted then."""
+    """Several sources in one table; the synthetic one can't be pooled, nor can languages be restricted then.
+
+    The single name ``all`` stands for the sources POOLED, whose options it maps by name.
+    """
+    if list(sources) == ["all"]:
+        if missing := [k for k in POOLED if k not in sources["all"]]:
+            raise ValueError(f"all needs options for {', '.join(missing)}")
+        sources = {k: sources["all"][k] for k in POOLED}
     if len(sources) > 1 and "synthetic" in sources:
         raise ValueError("the synthetic source can't be pooled")
     if len(sources) > 1 and langs:
@@ -242,7 +306,68 @@ def by_file_name(files: DataFrame, wanted: DataFrame, name: str = "name") -> tup
     return w.join(f.withColumnRenamed(name, "file"), "__k").drop("__k"), w.join(f, "__k", "left_anti").drop("__k")
 
 
-def read_results(spark: SparkSession, path: str) -> DataFrame:
-    """Rows (tokenizer, result) of JSON objects {tokenizer: {...}}, without the list of failures."""
+def read_results(spark: SparkSession, path: str, exclude: Sequence[str] = (), required: str | None = None) -> DataFrame:
+    """Rows (file, tokenizer, result) of JSON objects {tokenizer: {...}}, without the list of failures and without ``exclude``.
+
+    With ``required``, a result that lacks this number is an error.
+    """
     rows = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.from_json("value", "map<string,string>").alias("m"))
-    return rows.select("file", F.explode("m").alias("tokenizer", "result")).filter("tokenizer != '_failed' and startswith(result, '{')")
+    rows = rows.select("file", F.explode("m").alias("tokenizer", "result")).filter("tokenizer != '_failed' and startswith(result, '{')")
+    rows = rows.filter(~F.col("tokenizer").isin(list(exclude))) if exclude else rows
+    if required:
+        bad = rows.filter(F.get_json_object("result", f"$.{required}").isNull()).select("tokenizer").limit(1).collect()
+        if bad:
+            raise ValueError(f"{bad[0][0]} has no {required}")
+    return rows
+
+
+def result_values(results: DataFrame, field: str) -> DataFrame:
+    """Rows (tokenizer, lang, value) of a field {lang: number} of results."""
+    values = F.from_json(F.get_json_object("result", f"$.{field}"), "map<string,double>")
+    return results.select("tokenizer", F.explode(values).alias("lang", "value"))
+
+
+def _interleaved(examples: DataFrame, lang: str, order: str) -> DataFrame:
+    """Examples of all languages in turn, so that a limit takes from each."""
+    return interleave(examples, lang, order).withColumnRenamed("rk", "turn")
+
+
+def entailment_examples(rows: DataFrame, order: str) -> DataFrame:
+    """Rows (lang, turn, context, choices, label) of rows (lang, premise, hypothesis, label)."""
+    choices = F.array(*[F.lit(c) for c in ENTAILMENT_CHOICES])
+    got = rows.select(order, "lang", entailment_prompt(F.col("premise"), F.col("hypothesis")).alias("context"), choices.alias("choices"), "label")
+    return _interleaved(got, "lang", order)
+
+
+def cause_examples(rows: DataFrame, order: str) -> DataFrame:
+    """Rows (lang, turn, context, choices, label) of rows (lang, premise, choice1, choice2, question, label)."""
+    got = rows.select(order, "lang", cause_prompt(F.col("premise"), F.col("question")).alias("context"), cause_choices(F.col("choice1"), F.col("choice2")).alias("choices"), "label")
+    return _interleaved(got, "lang", order)
+
+
+def minimal_pair_examples(rows: DataFrame, order: str) -> DataFrame:
+    """Rows with an empty context whose first choice is the good sentence; ``lang`` is the paradigm."""
+    got = rows.select(order, F.col("paradigm").alias("lang"), F.lit("").alias("context"), F.array("sentence_good", "sentence_bad").alias("choices"), F.lit(0).alias("label"))
+    return _interleaved(got, "lang", order)
+
+
+def acceptability_examples(rows: DataFrame) -> DataFrame:
+    return rows.select(F.lit("en").alias("lang"), "sentence", "label")
+
+
+def qa_examples(rows: DataFrame) -> DataFrame:
+    """Questions with their prompt and all their reference answers."""
+    return rows.select(F.lit("en").alias("lang"), "context", "question", answer_prompt(F.col("context"), F.col("question")).alias("prompt"), "answers")
+
+
+def translation_examples(groups: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
+    """Rows (source_lang, target_lang, turn, source_text, reference_text) of groups that have both; unknown languages are an error."""
+    wanted = sorted({k for pair in pairs for k in pair})
+    there = {r[0] for r in groups.filter(F.col("lang").isin(wanted)).select("lang").distinct().collect()}
+    if missing := [k for k in wanted if k not in there]:
+        raise ValueError(f"no texts in {', '.join(missing)}")
+    chosen = groups.sparkSession.createDataFrame(list(pairs), "source_lang string, target_lang string")
+    side = lambda lang, text: groups.select("group_id", F.col("lang").alias(lang), F.col("text").alias(text))
+    both = chosen.join(side("source_lang", "source_text"), "source_lang").join(side("target_lang", "reference_text"), ["group_id", "target_lang"])
+    both = both.withColumn("pair", F.concat_ws(":", "source_lang", "target_lang"))
+    return _interleaved(both, "pair", "group_id").select("source_lang", "target_lang", "turn", "source_text", "reference_text")

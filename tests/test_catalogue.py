@@ -5,10 +5,11 @@ import os
 import duckdb
 import pytest
 
-from lexiloom.plans import catalogue
+from lexiloom.plans import catalogue, files, reports  # noqa: F401  (the last two add to the catalogue)
 
 SF = "/root/testdata/sf0.001"
-NAMES = ["tok_eval_by_lang", "byte_parity", "truncate_bytes", "dedup_exact", "word_budget", "shard_assignment", "vocab_topk", "spearman", "kruskal_h", "worst_quartile", "best_threshold", "token_f1", "leaderboard", "taxonomy_cascade", "stream_dedup"]
+NAMES = ["group_advantage", "lr_schedule", "prep_accounting", "lang_codes", "span_ids", "prep_token_shards", "panel_combined", "contamination_matches", "choice_examples", "composed_words", "source_jsonl_groups", "source_csv_pairs", "source_jsonl_budget", "sink_by_lang", "sink_vocabulary", "rate_limited_counts", "sql_shingles"]
+NAMES += ["tok_eval_by_lang", "byte_parity", "truncate_bytes", "dedup_exact", "word_budget", "shard_assignment", "vocab_topk", "spearman", "kruskal_h", "worst_quartile", "best_threshold", "token_f1", "leaderboard", "taxonomy_cascade", "stream_dedup"]
 
 
 def test_every_oracle_has_a_query():

@@ -39,11 +39,13 @@ def test_compression_without_tokens(spark):
 
 
 def test_parity_under_two_anchors(spark):
-    rows = [(1, "crk", "ab"), (1, "en", "abcd"), (2, "iu", "abcdefgh"), (2, "en", "abcd"), (3, "nah", "abcdef"), (3, "es", "abc")]
+    rows = [(1, "p", "x" * 6), (1, "one", "x" * 8), (2, "q", "x" * 30), (2, "two", "x" * 12), (2, "one", "x" * 10)]
     df = metrics.counts(spark.createDataFrame(rows, "group_id long, lang string, text string"), F.octet_length("text"))
-    manifest = spark.createDataFrame([("crk", "en"), ("iu", "en"), ("nah", "es")], "lang string, anchor string")
+    manifest = spark.createDataFrame([("p", "one"), ("q", "two"), ("q", "one")], "lang string, anchor string")
     got = {(r["anchor"], r["lang"]): r["parity"] for r in metrics.mixed_anchor(df, manifest).collect()}
-    assert got == {("en", "crk"): 0.5, ("en", "iu"): 2.0, ("es", "nah"): 2.0}
+    assert got == {("one", "p"): 0.75, ("two", "q"): 2.5, ("one", "q"): 3.0}
+    with pytest.raises(ValueError, match="group 1"):
+        metrics.require_anchors(df, ["two"])
 
 
 def test_anchor_does_not_change_relative_parity(spark):
@@ -54,9 +56,9 @@ def test_anchor_does_not_change_relative_parity(spark):
 
 
 def test_anchor_by_short_code(spark):
-    df = spark.createDataFrame([(1, "eng_Latn", 4), (1, "fra_Latn", 6)], "group_id long, lang string, n long")
-    got = {r["lang"]: r["anchor_n"] for r in groups.with_anchor(df, "eng", ["n"]).collect()}
-    assert got == {"eng_Latn": 4, "fra_Latn": 4}
+    df = spark.createDataFrame([(7, "one_Abcd", 11), (7, "two_Abcd", 3), (8, "one", 5), (8, "one_Abcd", 9)], "group_id long, lang string, n long")
+    got = {(r["group_id"], r["lang"]): r["anchor_n"] for r in groups.with_anchor(df, "one", ["n"]).collect()}
+    assert got == {(7, "one_Abcd"): 11, (7, "two_Abcd"): 11, (8, "one"): 5, (8, "one_Abcd"): 5}
 
 
 def test_exclusive_quartile(spark):
@@ -95,6 +97,8 @@ def test_budget_keeps_the_crossing_row(spark):
 def test_exact_dedup_ignores_case_and_punctuation(spark):
     df = spark.createDataFrame([(1, "The quick, fox!"), (2, "the  quick fox"), (3, "other"), (4, ""), (5, "...")], "i long, text string")
     assert sorted(r["i"] for r in dedup.drop_exact(df, "i").collect()) == [1, 3, 4]
+    null = spark.createDataFrame([(1, None), (2, "a"), (3, None)], "i long, text string")
+    assert sorted(r["i"] for r in dedup.drop_exact(null, "i").collect()) == [1, 2]
 
 
 def test_scattered_edits_are_not_similar_enough(spark):
@@ -127,6 +131,18 @@ def test_greedy_chain(spark):
     assert sorted(r["i"] for r in dedup.keep_greedily(spark.createDataFrame([(k,) for k in range(1, 6)], "i long"), edges, "i").collect()) == [1, 3, 5]
 
 
+def test_greedy_rule_equals_a_plain_loop(spark):
+    rng = __import__("random").Random(1)
+    pairs = sorted({tuple(sorted(rng.sample(range(60), 2))) for _ in range(90)} | {(100 + i, 101 + i) for i in range(30)})
+    kept, ids = [], [*range(60), *range(100, 131)]
+    for i in ids:
+        if not any((k, i) in pairs for k in kept):
+            kept.append(i)
+    edges = spark.createDataFrame(pairs, "a long, b long")
+    got = dedup.keep_greedily(spark.createDataFrame([(i,) for i in ids], "i long"), edges, "i")
+    assert sorted(r["i"] for r in got.collect()) == kept
+
+
 def test_bloom_sizes():
     bits, hashes = dedup.bloom_parameters(2_000_000_000, 0.01)
     assert hashes == 7 and bits / 8e9 == pytest.approx(2.396, abs=0.01)
@@ -152,9 +168,9 @@ def test_threshold(spark):
 
 
 def test_token_f1(spark):
-    df = spark.createDataFrame([(1, "Denver", "Denver Broncos"), (2, "", ""), (3, "", "Denver Broncos"), (4, "x", "y"), (4, "x", "the x")], "q long, p string, r string")
+    df = spark.createDataFrame([(1, "old stone bridge", "bridge"), (2, "", ""), (3, "", "stone"), (4, "x", "y"), (4, "x", "the x")], "q long, p string, r string")
     got = {r["q"]: r["f1"] for r in scoring.token_f1(df, ["q"], "p", "r").collect()}
-    assert got == pytest.approx({1: 2 / 3, 2: 1.0, 3: 0.0, 4: 1.0})
+    assert got == pytest.approx({1: 0.5, 2: 1.0, 3: 0.0, 4: 1.0})
 
 
 def test_bleu_of_equal_texts(spark):
