@@ -31,7 +31,7 @@ from lexiloom.llm.common import cut, stage, text_or_empty
 UNIT = 96
 ROOT = 12
 #: Cells of a pair's tables per digest that is estimated to differ, attempt by attempt.
-SIZES = (4.0, 12.0, 48.0)
+SIZES = (6.0, 18.0, 72.0)
 LEAST = -(1 << 63)
 CELLS = "array<struct<n:int,k:bigint,c:bigint>>"
 SIGNED = "array<struct<k:bigint,n:int>>"
@@ -114,34 +114,39 @@ def _parts(df: DataFrame) -> int:
     return 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def peel(cells: DataFrame, steps: int) -> DataFrame:
-    """Rows (rid, pair, found, stuck) from the cells of differences: (rid, pair, third, seed, part, slot, n, k, c).
+def peel(cells: DataFrame, steps: int, digests: bool = True) -> DataFrame:
+    """Rows (rid, pair, differ, stuck), with ``digests`` also found, from the cells of differences: (rid, pair, third, seed, part, slot, n, k, c).
 
     Each step looks at one part, in which a digest has one cell only: a cell with a single digest
     takes it out of all its cells and becomes a row of what was found (part -1, in the place of the
-    digest itself). All steps group by keys that begin with rid, so they run where the cells are.
-    Each aggregate takes a page of memory when its task starts, so after three steps, when few
-    cells are left, the rest run as tasks of their own.
+    digest itself) or, where only their number is asked for, adds to one such row. All steps group
+    by keys that begin with rid, so they run where the cells are. Each aggregate takes a page of
+    memory when its task starts, so after two steps, when few cells are left, the rest run as tasks
+    of their own.
     """
     same = ["rid", "pair", "third", "seed"]
     c = F.col
     for step in range(steps):
-        if step and step % 3 == 0:
+        if step == 2:
             cells = cells.repartition("rid")
         pure = (c("part") == step % 3) & (F.abs(c("n")) == 1) & (c("c") == check(c("k")))
         row = lambda p, slot_, n, k, x: F.struct(p.alias("part"), slot_.alias("slot"), n.alias("n"), k.alias("k"), x.alias("c"))
         out = [row(F.lit(j), slot(c("k"), F.lit(j), c("third"), c("seed")), -c("n"), c("k"), c("c")) for j in range(3)]
         nil = F.lit(0).cast("long")
         keep = row(c("part"), c("slot"), c("n"), c("k"), c("c"))
-        freed = F.array(keep, *out, row(F.lit(-1), c("k"), c("n"), nil, nil))
+        taken = row(F.lit(-1), c("k"), c("n"), nil, nil) if digests else row(F.lit(-1), nil, F.lit(1).cast("long"), nil, nil)
+        freed = F.array(keep, *out, taken)
         moved = cells.select(*same, F.explode(F.when(pure, freed).otherwise(F.array(keep))).alias("r")).select(*same, "r.*")
         cells = moved.groupBy(*same, "part", "slot").agg(F.sum("n").alias("n"), F.bit_xor("k").alias("k"), F.bit_xor("c").alias("c")).filter("n != 0 or k != 0")
-    found = F.when(c("part") < 0, F.struct(c("slot").alias("k"), c("n").cast("int").alias("n")))
-    return cells.groupBy("rid", "pair").agg(F.collect_list(found).alias("found"), F.sum((c("part") >= 0).cast("int")).alias("stuck"))
+    of = c("part") < 0
+    wanted = [F.sum(F.when(of, F.abs(c("n"))).otherwise(0)).alias("differ"), F.sum((~of).cast("int")).alias("stuck")]
+    if digests:
+        wanted.append(F.collect_list(F.when(of, F.struct(c("slot").alias("k"), c("n").cast("int").alias("n")))).alias("found"))
+    return cells.groupBy("rid", "pair").agg(*wanted)
 
 
-def differences(sets: DataFrame, cells_per_digest: float, seed: int, steps: int = 9) -> DataFrame:
-    """Rows (rid, pair, found, stuck) for pairs of sets (rid, pair, likely, a, b) that differ; ``likely`` is the estimate.
+def differences(sets: DataFrame, cells_per_digest: float, seed: int, digests: bool = True, steps: int = 6) -> DataFrame:
+    """Rows (rid, pair, differ, stuck), with ``digests`` also found, for pairs of sets (rid, pair, likely, a, b) that differ; ``likely`` is the estimate.
 
     Both tables have the same size. Their cells are added with opposite signs, which is the subtraction of the two tables.
     """
@@ -151,25 +156,28 @@ def differences(sets: DataFrame, cells_per_digest: float, seed: int, steps: int
     rows = rows.withColumn("seed", F.lit(seed)).withColumn("c", check(F.col("k"))).withColumn("part", F.explode(F.array(*[F.lit(j) for j in range(3)])))
     rows = rows.withColumn("slot", slot(F.col("k"), F.col("part"), F.col("third"), F.col("seed")))
     cells = rows.groupBy("rid", "pair", "third", "seed", "part", "slot").agg(F.sum("n").alias("n"), F.bit_xor("k").alias("k"), F.bit_xor("c").alias("c")).filter("n != 0 or k != 0")
-    return peel(cells, steps)
+    return peel(cells, steps, digests)
 
 
-def reconcile(sets: DataFrame, sizes: tuple[float, ...] = SIZES) -> DataFrame:
-    """Rows (rid, pair, found): the digests (k, n: 1 of a, -1 of b) in which pairs of sets (rid, pair, likely, a, b) differ.
+def reconcile(sets: DataFrame, sizes: tuple[float, ...] = SIZES, digests: bool = True) -> DataFrame:
+    """Rows (rid, pair, differ): in how many digests pairs of sets (rid, pair, likely, a, b) differ.
 
-    Pairs whose tables can't be peeled go again with larger ones; should the largest fail too, the sets themselves are compared.
+    With ``digests`` also ``found``: the digests themselves (k, n: 1 of a, -1 of b). Pairs whose
+    tables can't be peeled go again with larger ones; should the largest fail too, the sets
+    themselves are compared.
     """
-    done = None
+    done, columns = None, ["rid", "pair", "differ", *["found"] * digests]
     for k, size_ in enumerate(sizes):
-        got = cut(differences(sets.repartition(_parts(sets), "rid"), size_, k))
-        right = got.filter("stuck = 0").select("rid", "pair", "found")
+        got = cut(differences(sets, size_, k, digests))
+        right = got.filter("stuck = 0").select(*columns)
         done = right if done is None else done.union(right)
         failed = got.filter("stuck > 0").select("rid", "pair")
         if failed.isEmpty():
             return done
         sets = cut(sets.join(failed, ["rid", "pair"]))
     only = lambda x, y, n: F.transform(F.array_except(x, y), lambda k: F.struct(k.alias("k"), F.lit(n).alias("n")))
-    return done.union(sets.select("rid", "pair", F.concat(only("a", "b", 1), only("b", "a", -1)).cast(SIGNED)))
+    rest = sets.select("rid", "pair", F.concat(only("a", "b", 1), only("b", "a", -1)).cast(SIGNED).alias("found"))
+    return done.union(rest.withColumn("differ", F.size("found").cast("long")).select(*columns))
 
 
 def likeness(both: Column, differ: Column) -> Column:
@@ -232,15 +240,17 @@ def compare(rows: DataFrame) -> DataFrame:
     # the fingerprints themselves are subtracted; a pair that they can't settle gets an estimate instead
     other = lambda k: F.struct(F.size(k).alias("n"), peeled_root(subtracted(c("tu"), c(f"t{k}"))).alias("found"), estimated(subtracted(c("tu"), c(f"t{k}")), F.size("u"), F.size(k)).alias("likely"))
     held = sized.select(
-        F.monotonically_increasing_id().alias("rid"), "doc_id", "n_chars", "edited_sha256", F.size("u").alias("n"), other("e").alias("pe"), other("x").alias("px"),
-        written(c("tu"), F.size("u")).alias("fingerprint"), written(c("te"), F.size("e")).alias("edited_fingerprint"), "u", "e", "x",
+        F.monotonically_increasing_id().alias("rid"), "doc_id", "n_chars", "edited_sha256", F.size("u").alias("n"), other("e").alias("pe"), other("x").alias("px"), "tu", "te", "u", "e", "x",
     )
     held = stage(held, "fingerprints")
-    pair = lambda k, name: held.filter(c(f"p{name}.found").isNull()).select("rid", F.lit(k).alias("pair"), c(f"p{name}.likely").alias("likely"), c("u").alias("a"), c(name).alias("b"))
-    sets = pair(0, "e").unionByName(pair(1, "x"))
-    found = reconcile(sets).groupBy("rid").agg(*[F.sum(F.when(c("pair") == k, F.size("found"))).alias(f"differ_{name}") for k, name in enumerate("ex")])
+    # texts go out once for both pairs; only pairs without a result become rows
+    sent = held.filter("pe.found is null or px.found is null").select("rid", "u", "e", "x", *[F.when(c(f"p{k}.found").isNull(), c(f"p{k}.likely")).alias(f"likely_{k}") for k in "ex"]).repartition(_parts(held), "rid")
+    pairs = F.filter(F.array(*[F.struct(F.lit(k).alias("pair"), c(f"likely_{name}").alias("likely"), c(name).alias("b")) for k, name in enumerate("ex")]), lambda p: p["likely"].isNotNull())
+    sets = sent.select("rid", c("u").alias("a"), F.explode(pairs).alias("p")).select("rid", "p.pair", "p.likely", "a", "p.b")
+    found = reconcile(sets, digests=False).groupBy("rid").agg(*[F.sum(F.when(c("pair") == k, c("differ"))).alias(f"differ_{name}") for k, name in enumerate("ex")])
     near = lambda name: likeness(c("n") + c(f"p{name}.n"), F.coalesce(F.size(c(f"p{name}.found")), c(f"differ_{name}")))
-    slim = held.select("rid", "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "n", "pe", "px")
+    prints = [written(c(f"t{k}"), n).alias(name) for k, n, name in (("u", c("n"), "fingerprint"), ("e", c("pe.n"), "edited_fingerprint"))]
+    slim = held.select("rid", "doc_id", "n_chars", "edited_sha256", *prints, "n", "pe", "px")
     return slim.join(found, "rid", "left").select(
         "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", near("e").alias("near_edited"), near("x").alias("near_next")
     )
