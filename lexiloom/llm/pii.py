@@ -63,12 +63,6 @@ def located(text: Column, pattern: str) -> Column:
 
     The words before are the last three between this match and the one before it, or that match if there are none.
     """
-    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    bare = F.transform(gaps, lambda g: F.trim(_blanks(g)))
-    n = F.size(hits)
-    left = F.zip_with(F.slice(bare, 1, n), F.concat(F.array(F.lit(EDGE)), F.slice(hits, 1, F.greatest(n - 1, F.lit(0)))), lambda g, v: F.when(g == "", v).otherwise(F.substring_index(g, " ", -3)))
-    right = F.zip_with(F.slice(bare, 2, n), F.concat(F.slice(hits, 2, n), F.array(F.lit(EDGE))), lambda g, v: F.when(g == "", v).otherwise(F.substring_index(g, " ", 1)))
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + x["ahead"]
@@ -76,11 +70,21 @@ def located(text: Column, pattern: str) -> Column:
         one = F.struct(start.alias("start"), stop.alias("stop"), x["value"].alias("value"), x["left"].alias("left"), x["right"].alias("right"))
         return F.struct(stop.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
 
-    cues = F.zip_with(left, right, lambda a, b: F.struct(a.alias("left"), b.alias("right")))
-    values = F.zip_with(hits, F.slice(gaps, 1, n), lambda v, g: F.struct(v.alias("value"), F.length(g).alias("ahead")))
-    pieces = F.zip_with(values, cues, lambda v, c: F.struct(v["value"].alias("value"), v["ahead"].alias("ahead"), c["left"].alias("left"), c["right"].alias("right")))
-    found = F.aggregate(pieces, F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out")), step, lambda acc: acc["out"])
-    return F.when(n > 0, found).otherwise(F.array().cast(SPAN))
+    def listed(pair: Column) -> Column:
+        """Inside a lambda matches and gaps are values; outside, every use of them would split the text again."""
+        hits, gaps = pair["hits"], pair["gaps"]
+        bare = F.transform(gaps, lambda g: F.trim(_blanks(g)))
+        n = F.size(hits)
+        left = F.zip_with(F.slice(bare, 1, n), F.concat(F.array(F.lit(EDGE)), F.slice(hits, 1, F.greatest(n - 1, F.lit(0)))), lambda g, v: F.when(g == "", v).otherwise(F.substring_index(g, " ", -3)))
+        right = F.zip_with(F.slice(bare, 2, n), F.concat(F.slice(hits, 2, n), F.array(F.lit(EDGE))), lambda g, v: F.when(g == "", v).otherwise(F.substring_index(g, " ", 1)))
+        cues = F.zip_with(left, right, lambda a, b: F.struct(a.alias("left"), b.alias("right")))
+        values = F.zip_with(hits, F.slice(gaps, 1, n), lambda v, g: F.struct(v.alias("value"), F.length(g).alias("ahead")))
+        pieces = F.zip_with(values, cues, lambda v, c: F.struct(v["value"].alias("value"), v["ahead"].alias("ahead"), c["left"].alias("left"), c["right"].alias("right")))
+        found = F.aggregate(pieces, F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out")), step, lambda acc: acc["out"])
+        return F.when(n > 0, found).otherwise(F.array().cast(SPAN))
+
+    pair = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits"), F.split(text, pattern, -1).alias("gaps"))
+    return F.element_at(F.transform(F.array(pair), listed), 1)
 
 
 def _digits(value: Column) -> Column:

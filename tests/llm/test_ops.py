@@ -218,16 +218,16 @@ def test_fingerprints_equal_brute_force(spark, prose):
     # ids that repeat share what follows them, the least text of the next lower id; the one without an id comes last
     odd = sketches.edited(documents(spark, ["aaaaaa", "bbbbbb", "cccccc", "dddddd", "eeeeee"], [1, 1, None, 4, None])).collect()
     assert sorted((r["text"], r["edited"]) for r in odd) == [("aaaaaa", "aaaacc"), ("bbbbbb", "bbbbcc"), ("cccccc", "ccccdd"), ("dddddd", "ddddaa"), ("eeeeee", "eeeedd")]
-    assert len(sketches.compare(sketches.edited(documents(spark, ["a", None], [1, None]))).collect()) == 2
-    one = sketches.compare(sketches.edited(documents(spark, ["x" * 500], [3]))).first()
+    one =sketches.compare(sketches.edited(documents(spark, ["x" * 500], [3]))).first()
     assert one["near_next"] == 1.0 and one["near_edited"] == 1.0
 
 
 def test_stuck_tables_go_again(spark):
     sets = spark.createDataFrame([(1, 0, 250.0, list(range(200)), list(range(150, 300)))], "rid long, pair int, likely double, a array<long>, b array<long>")
-    for sizes in ((0.2, 0.4, 9.0), (0.2,)):
+    for sizes in ((0.2, 9.0), (0.2,)):
         found = sketches.reconcile(sets, sizes).first()["found"]
         assert {(r["k"], r["n"]) for r in found} == {(k, 1) for k in range(150)} | {(k, -1) for k in range(200, 300)} and len(found) == 250
+    assert sketches.reconcile(sets, digests=False).first()["differ"] == 250
 
 
 @pytest.mark.parametrize(("a", "b"), [([], []), ([1, 2, 3], [1, 2, 3]), ([1, 2, 3, 4], [2, 3, 4, 9]), ([7], []), (list(range(60)), list(range(60, 120)))])
