@@ -222,12 +222,13 @@ def results_lacking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return results.without_value(merged, "spread").select(F.lit("lacking").alias("what"), "tokenizer").union(failed.select(F.lit("failed"), "tokenizer"))
 
 
-@query("SELECT * FROM (VALUES ('ours', 50000, 'declared', NULL), ('closed', NULL, 'proprietary', NULL), ('open', 257, 'loaded', NULL), ('gone', NULL, 'loaded', 'not there')) t(tokenizer, vocab_size, source, error)")
+@query("SELECT * FROM (VALUES ('ours', 50000, 'declared', NULL), ('closed', -1, 'proprietary', NULL), ('open', 257, 'loaded', NULL), ('gone', -1, 'loaded', 'not there')) t(tokenizer, vocab_size, source, error)")
 def vocabulary_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     def gone() -> int:
         raise OSError("not there")
 
-    return results.vocabulary_sizes(spark, {"ours": 50_000}, ["closed"], {"open": lambda: adapter.from_merges(bpe.Merges(), adapter.one_by_one(PRETOKEN.findall)).vocab_size, "gone": gone})
+    got = results.vocabulary_sizes(spark, {"ours": 50_000}, ["closed"], {"open": lambda: adapter.from_merges(bpe.Merges(), adapter.one_by_one(PRETOKEN.findall)).vocab_size, "gone": gone})
+    return got.withColumn("vocab_size", F.coalesce("vocab_size", F.lit(-1)).cast("long"))
 
 
 @query(f"SELECT lang, round(greatest(0.1, least(0.4, 0.3 * parity)), 6) AS target FROM ({parity_sql('n_bytes')})")
@@ -332,7 +333,7 @@ def hooked_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.groupBy("lang").agg(F.sum(F.size("spans")).alias("tokens"), F.count(F.lit(1)).alias("texts"))
 
 
-@query("SELECT n_nationkey, CASE WHEN n_nationkey % 6 > 0 THEN octet_length(encode(n_name))::BIGINT END AS n_tokens FROM nation")
+@query("SELECT n_nationkey, CASE WHEN n_nationkey % 6 > 0 THEN octet_length(encode(n_name))::BIGINT ELSE -1 END AS n_tokens FROM nation")
 def rate_limited_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts from a service that refuses some texts."""
     def count(text: str) -> int:
@@ -341,7 +342,7 @@ def rate_limited_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
         return len(text.encode())
 
     rows = table(spark, sf_dir, "nation").select("n_nationkey", F.when(F.col("n_nationkey") % 6 > 0, F.col("n_name")).otherwise(F.concat(F.lit("!"), "n_name")).alias("text"))
-    return streams.within_rate(rows, count, 1_000_000).drop("text")
+    return streams.within_rate(rows, count, 1_000_000).select("n_nationkey", F.coalesce("n_tokens", F.lit(-1)).cast("long").alias("n_tokens"))
 
 
 @query(f"SELECT doc_id, count(*) AS n_shingles, min(md5(g)) AS least_key FROM ({SHINGLED}) GROUP BY doc_id")
