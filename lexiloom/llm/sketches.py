@@ -240,16 +240,16 @@ def compare(rows: DataFrame) -> DataFrame:
     # the fingerprints themselves are subtracted; a pair that they can't settle gets an estimate instead
     other = lambda k: F.struct(F.size(k).alias("n"), peeled_root(subtracted(c("tu"), c(f"t{k}"))).alias("found"), estimated(subtracted(c("tu"), c(f"t{k}")), F.size("u"), F.size(k)).alias("likely"))
     held = sized.select(
-        F.monotonically_increasing_id().alias("rid"), "doc_id", "n_chars", "edited_sha256", F.size("u").alias("n"), other("e").alias("pe"), other("x").alias("px"), "tu", "te", "u", "e", "x",
+        F.monotonically_increasing_id().alias("rid"), "doc_id", "n_chars", "edited_sha256", F.size("u").alias("n"), other("e").alias("pe"), other("x").alias("px"), "u", "e", "x",
     )
-    held = stage(held, "fingerprints")
+    held = stage(held, "fingerprints")  # the tables are made again from their digests at the end, which take less room
     # texts go out once for both pairs; only pairs without a result become rows
     sent = held.filter("pe.found is null or px.found is null").select("rid", "u", "e", "x", *[F.when(c(f"p{k}.found").isNull(), c(f"p{k}.likely")).alias(f"likely_{k}") for k in "ex"]).repartition(_parts(held), "rid")
     pairs = F.filter(F.array(*[F.struct(F.lit(k).alias("pair"), c(f"likely_{name}").alias("likely"), c(name).alias("b")) for k, name in enumerate("ex")]), lambda p: p["likely"].isNotNull())
     sets = sent.select("rid", c("u").alias("a"), F.explode(pairs).alias("p")).select("rid", "p.pair", "p.likely", "a", "p.b")
     found = reconcile(sets, digests=False).groupBy("rid").agg(*[F.sum(F.when(c("pair") == k, c("differ"))).alias(f"differ_{name}") for k, name in enumerate("ex")])
     near = lambda name: likeness(c("n") + c(f"p{name}.n"), F.coalesce(F.size(c(f"p{name}.found")), c(f"differ_{name}")))
-    prints = [written(c(f"t{k}"), n).alias(name) for k, n, name in (("u", c("n"), "fingerprint"), ("e", c("pe.n"), "edited_fingerprint"))]
+    prints = [written(build(c(k)), n).alias(name) for k, n, name in (("u", c("n"), "fingerprint"), ("e", c("pe.n"), "edited_fingerprint"))]
     slim = held.select("rid", "doc_id", "n_chars", "edited_sha256", *prints, "n", "pe", "px")
     return slim.join(found, "rid", "left").select(
         "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", near("e").alias("near_edited"), near("x").alias("near_next")
