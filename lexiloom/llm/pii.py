@@ -3,9 +3,8 @@
 The spans of the four base patterns are seeds, whole: a phone number of three words is one instance.
 Keys of 32 and more hexadecimal digits are seeds of a fifth kind, secret. Any other token with a
 digit or at-sign is a candidate, without the marks around it; candidates with one blank between
-them are one instance. An
-instance occurs in two patterns, the word before it and the word after it, each with the
-instance's shape (the lengths of long digit runs, mixed letters and digits as one sign). A sign
+them are one instance. An instance occurs in two patterns, the word before it and the word after
+it, each with the instance's shape (the lengths of long digit runs, mixed letters and digits as one sign). A sign
 without letters or digits isn't a word of its own: the word before it goes with it (``token =``).
 
 A pattern scores as the mean score of the instances that fill it, without the one that asks and

@@ -8,7 +8,7 @@ compared by subtracting their fingerprints cell by cell: common digests vanish,
 that hold a single digest recovers those that differ. Where more differ than such a small table
 can give back, the second moment of the subtracted counts estimates how many, and the two texts
 get larger tables in proportion to that estimate, larger still each time peeling gets stuck; only
-these pairs carry their digests along.
+these pairs send their digests on.
 
 Everything is DataFrame expressions. Texts meet their neighbours by one shuffle: ids are cut into
 ranges at a table of bounds (one per partition), and each range also gets the first document of
