@@ -16,9 +16,10 @@ from lexiloom.operators.frames import prefix_sums, shared_folder
 
 
 def read_stream(spark: SparkSession, path: str, schema, files_per_trigger: int = 16) -> DataFrame:
-    """A stream of the Parquet files of a folder (or of one file)."""
+    """A stream of the Parquet files of a folder (or of one file); the file system tells which, as a folder's name may end like a file's."""
     folder, _, name = path.rstrip("/").rpartition("/")
-    one = name.endswith(".parquet")
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    one = place.getFileSystem(spark._jsc.hadoopConfiguration()).isFile(place)
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
     return stream.option("pathGlobFilter", name).parquet(folder) if one else stream.parquet(path)
 

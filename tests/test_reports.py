@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexiloom.operators import adapter, bpe, groups, metrics, options, ordering, prep, results, stats
+from lexiloom.plans import catalogue
 from lexiloom.sources import readers, sinks
 from lexiloom.streaming import streams
 
@@ -188,3 +189,9 @@ def test_losses_and_budgets(spark):
     assert metrics.mean_loss(spark.createDataFrame([], "loss double")).first()["loss"] != metrics.mean_loss(spark.createDataFrame([(1.0,)], "loss double")).first()["loss"]
     got = spark.createDataFrame([(10, 20)], "p long, r long").select(*[c.alias(k) for k, c in metrics.training_budget(F.col("p"), F.col("r")).items()]).first()
     assert tuple(got) == (200, 12_000)
+
+
+def test_a_table_of_several_files_is_streamed_whole(spark, tmp_path):
+    rows = [(1, "One two", "en"), (2, "one, TWO", "en"), (3, "drei", "de")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    assert catalogue.stream_dedup(spark, str(tmp_path)).first()["kept"] == 2
