@@ -50,7 +50,7 @@ def run_available(stream: DataFrame, mode: str = "append", folder: str | None =
 
     ``folder`` holds the stream's state and rows: a later run with the same folder goes on where the
     last one ended and reads new files only. Without one a new folder in the shared one is taken.
-    Appended rows are written once; a complete result replaces the one before it.
+    Appended rows are written once; a complete result replaces the one before it. Where there was nothing to read the table is empty.
     """
     spark = stream.sparkSession
     folder = (folder or f"{shared_folder(spark)}/lexiloom/stream-{uuid.uuid4().hex}").rstrip("/")
@@ -59,6 +59,9 @@ def run_available(stream: DataFrame, mode: str = "append", folder: str | None =
         writer.format("parquet").option("path", f"{folder}/rows").start().awaitTermination()
     else:
         writer.foreachBatch(lambda rows, _: rows.write.mode("overwrite").parquet(f"{folder}/rows")).start().awaitTermination()
+        place = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/rows")
+        if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):  # no batch ran
+            spark.createDataFrame([], stream.schema).write.parquet(f"{folder}/rows")
     return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
 
 

@@ -195,3 +195,11 @@ def test_a_table_of_several_files_is_streamed_whole(spark, tmp_path):
     rows = [(1, "One two", "en"), (2, "one, TWO", "en"), (3, "drei", "de")]
     spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
     assert catalogue.stream_dedup(spark, str(tmp_path)).first()["kept"] == 2
+
+
+def test_a_complete_result_of_several_files_and_of_none(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "One two", "en"), (2, "drei", "de"), (3, "vier", "de")], "doc_id long, text string, lang string")
+    rows.repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    assert sorted(map(tuple, catalogue.stream_token_counts(spark, str(tmp_path)).collect())) == [("de", 2, 2, 8), ("en", 1, 2, 7)]
+    (tmp_path / "none").mkdir()
+    assert streams.run_available(streams.token_counts(streams.read_stream(spark, str(tmp_path / "none"), rows.schema)), "complete").count() == 0
