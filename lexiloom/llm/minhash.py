@@ -27,8 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexiloom.llm.common import blocks, cut, mapped, stage
-from lexiloom.llm.graph import components
+from lexiloom.llm.common import blocks, cut, mapped, sorted_merge, stage
+from lexiloom.llm.graph import SPLIT, components
 from lexiloom.llm.shingles import U, mix, shingle_sets
 
 BITS = 20
@@ -116,7 +116,7 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                     keep.append(i)
             yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
-    return mapped(pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb"), run, "a long, b long")
+    return mapped(pairs.join(sorted_merge(left), "a").join(sorted_merge(right), "b").select("a", "b", "sa", "sb"), run, "a long, b long")
 
 
 def links_between(x: list[np.ndarray], y: list[np.ndarray], percent: int, columns: int = 1 << 14) -> np.ndarray:
@@ -150,12 +150,14 @@ def compare_blocks(members: DataFrame, sets: DataFrame, percent: int, block: int
     sizes = members.groupBy("g", "label").agg(F.count(F.lit(1)).alias("n"))
     groups = sizes.groupBy("g").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("all"))
     groups = groups.select("g", F.col("top.label").alias("main"), F.ceil(F.col("top.n") / block).cast("int").alias("mains"), F.ceil((F.col("all") - F.col("top.n")) / block).cast("int").alias("others")).filter("others > 0")
-    rows = members.join(groups, "g").withColumn("other", F.col("label") != F.col("main"))
     hashed = F.xxhash64("vertex")
+    many = groups.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SPLIT - 1))))  # the largest group is no hot key
+    rows = members.withColumn("part", F.pmod(F.shiftright(hashed, 32), F.lit(SPLIT)).cast("int")).join(sorted_merge(many), ["g", "part"])
+    rows = rows.withColumn("other", F.col("label") != F.col("main"))
     rows = rows.withColumn("own", F.when(F.col("other"), F.pmod(hashed, F.col("others"))).otherwise(F.col("others") + F.pmod(hashed, F.col("mains"))).cast("int"))
     meets = F.when(F.col("other"), F.sequence(F.lit(0), F.col("others") + F.col("mains") - 1)).otherwise(F.sequence(F.lit(0), F.col("others") - 1))
     dealt = rows.withColumn("met", F.explode(meets)).select("g", "vertex", "label", "own", F.least("own", "met").alias("i"), F.greatest("own", "met").alias("j"))
-    dealt = dealt.join(sets, "vertex")
+    dealt = dealt.join(sorted_merge(sets), "vertex")
 
     def run(pdf):
         import pandas as pd
@@ -180,30 +182,30 @@ def group(
     some = sketches.filter("digest is not null and doc_id is not null")
     classes = cut(some.groupBy("digest").agg(F.min("doc_id").alias("vertex")))
     ids = classes.select(F.col("vertex").alias("doc_id")).distinct()
-    keyed = some.join(ids, "doc_id", "left_semi").select(F.explode("bands").alias("band"), F.col("doc_id").alias("vertex"))
+    keyed = some.join(sorted_merge(ids), "doc_id", "left_semi").select(F.explode("bands").alias("band"), F.col("doc_id").alias("vertex"))
     shared = keyed.groupBy("band").agg(F.min("vertex").alias("hub"), F.max("vertex").alias("other")).filter("hub != other").select("band", "hub")
-    buckets = cut(keyed.join(shared, "band").select("band", "vertex", "hub"))
+    buckets = cut(keyed.join(sorted_merge(shared), "band").select("band", "vertex", "hub"))
     wanted = buckets.select(F.col("vertex").alias("doc_id")).distinct()
-    texts = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(wanted, "doc_id", "left_semi")
+    texts = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(sorted_merge(wanted), "doc_id", "left_semi")
     sets = stage(shingle_table(texts, n, "doc_id", "text").filter("octet_length(shingles) > 0"), "sets")
 
     first = buckets.filter("vertex != hub").select(F.col("vertex").alias("a"), F.col("hub").alias("b")).distinct()
     links = cut(confirm(first, sets, percent))
     found = cut(components(links))
     # buckets that still hold several components: small ones by pairs, large ones by blocks
-    placed = buckets.join(found.select("vertex", F.col("component").alias("label")), "vertex", "left").withColumn("label", F.coalesce("label", "vertex"))
+    placed = buckets.join(sorted_merge(found.select("vertex", F.col("component").alias("label"))), "vertex", "left").withColumn("label", F.coalesce("label", "vertex"))
     split = placed.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("m")).filter("low != high")
-    open_ = cut(placed.join(split.select("band", "m"), "band"))
+    open_ = cut(placed.join(sorted_merge(split.select("band", "m")), "band"))
     few = open_.filter(F.col("m") <= small)
     x, y = few.select("band", F.col("vertex").alias("a"), F.col("label").alias("la")), few.select("band", F.col("vertex").alias("b"), F.col("label").alias("lb"))
-    pairs = x.join(y, "band").filter("a > b and la != lb").select("a", "b").distinct().join(first, ["a", "b"], "left_anti")
+    pairs = x.join(sorted_merge(y), "band").filter("a > b and la != lb").select("a", "b").distinct().join(sorted_merge(first), ["a", "b"], "left_anti")
     many = open_.filter(F.col("m") > small)
     tied = components(many.select(F.col("vertex").alias("a"), F.col("hub").alias("b")))
-    members = many.select("vertex", "label").distinct().join(tied.withColumnRenamed("component", "g"), "vertex")
+    members = many.select("vertex", "label").distinct().join(sorted_merge(tied.withColumnRenamed("component", "g")), "vertex")
     more = confirm(pairs, sets, percent).union(compare_blocks(members, sets, percent, block))
     found = components(found.select(F.col("vertex").alias("a"), F.col("component").alias("b")).union(more))
-    labelled = classes.join(found, "vertex", "left").select("digest", F.coalesce("component", "vertex").alias("component"))
-    out = sketches.select("doc_id", "n_shingles", "digest").join(labelled, "digest", "left")
+    labelled = classes.join(sorted_merge(found), "vertex", "left").select("digest", F.coalesce("component", "vertex").alias("component"))
+    out = sketches.select("doc_id", "n_shingles", "digest").join(sorted_merge(labelled), "digest", "left")
     component = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 

@@ -555,3 +555,12 @@ def test_pipeline_keeps_columns_between_stages(spark, tmp_path):
         if k == 2:
             assert not any("@" in r["text"] for r in now.collect())
     assert 0 < now.count() and set(now.columns) == {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"}
+
+
+def test_near_duplicates_broadcast_nothing(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(20)], "a long, b long")
+    least = edges.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"))
+    joined = graph._with_least(edges, least)
+    joined.collect()  # the plan that ran is known after it
+    assert "Broadcast" not in joined._jdf.queryExecution().executedPlan().toString()
+    assert {r["component"] for r in graph.components(edges).collect()} == {0}
