@@ -344,3 +344,28 @@ def test_rate_band(spark):
     rows = [(g, k, "x" * n) for g in range(4) for k, n in (("en", 10), ("de", 10))]
     df = metrics.counts(spark.createDataFrame(rows, "group_id long, lang string, text string"), tx.word_count(F.col("text")))
     assert all(r["alpha"] == r["beta"] == 0.25 for r in metrics.rate_band(df, "en").collect())
+
+
+def test_common_ngrams_make_no_rows_in_a_shuffle(spark):
+    rows = [("x", "a b a b c", "a b c a"), ("x", None, "a"), ("y", "日本 😀 ab" * 40, "日本 😀" * 30), ("y", "", "")]
+    df = spark.createDataFrame(rows, "k string, h string, r string")
+
+    def plain(split, order, key):
+        out = []
+        for n in range(1, order + 1):
+            m = x = y = 0
+            for k, h, r in rows:
+                grams = [__import__("collections").Counter(tuple(t[i : i + n]) for i in range(len(t) - n + 1)) for t in (split(h or ""), split(r or ""))]
+                if key in (k, "all"):
+                    m, x, y = m + sum((grams[0] & grams[1]).values()), x + sum(grams[0].values()), y + sum(grams[1].values())
+            out.append((n, m, x, y))
+        return out
+
+    for a, b, split, order in ((F.split("h", " "), F.split("r", " "), lambda t: t.split(" "), 4), (F.col("h"), F.col("r"), list, 12)):
+        found = scoring.ngram_matches(df.filter("h is not null"), "k", a, b, order, "all")
+        rows = [r for r in rows if r[1] is not None]
+        for key in ("x", "y", "all"):
+            assert sorted(tuple(r)[1:] for r in found.filter(F.col("k") == key).collect()) == plain(split, order, key)
+    plan = found._jdf.queryExecution().toString()
+    assert "MapInArrow" in plan and "Generate explode(transform" not in plan
+    assert scoring.chrf(df, "k", F.col("h"), F.col("r")).count() == 2
