@@ -369,3 +369,29 @@ def test_common_ngrams_make_no_rows_in_a_shuffle(spark):
     plan = found._jdf.queryExecution().toString()
     assert "MapInArrow" in plan and "Generate explode(transform" not in plan
     assert scoring.chrf(df, "k", F.col("h"), F.col("r")).count() == 2
+
+
+@pytest.mark.parametrize("often", [1, 20])
+def test_similar_pairs_lose_no_link_among_frequent_passages(spark, often):
+    import random
+
+    rng = random.Random(3)
+    passage = [f"p{i}" for i in range(30)]
+    rows = []
+    for k in range(12):
+        own = [f"w{k}x{i}" for i in range(60)]
+        for m in range(4):
+            text = passage + own
+            if m:
+                text[rng.randrange(len(text))] = f"edit{m}"
+            rows.append((4 * k + m, " ".join(text)))
+    rows += [(100, rows[0][1]), (101, "short one"), (102, "short one"), (103, None), (104, "")]
+    sets = {i: frozenset(tuple(w[k : k + 13]) for k in range(max(1, len(w) - 12))) for i, t in rows if (w := (t or "").split())}
+    least = {}
+    for i in sorted(sets):
+        least.setdefault(sets[i], i)
+    reps = sorted(least.values())
+    want = {(a, b, len(sets[a] & sets[b])) for a in reps for b in reps if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    want |= {(least[s], i, len(s)) for i, s in sets.items() if least[s] != i}
+    got = dedup.similar_pairs(spark.createDataFrame(rows, "i long, text string"), "i", often=often).collect()
+    assert sorted((r["a"], r["b"], r["common"]) for r in got) == sorted(want)
