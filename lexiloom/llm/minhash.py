@@ -220,5 +220,5 @@ def drop_near(documents: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     keyed = documents.withColumn("__vertex", F.coalesce(F.col(id_col).cast("long"), own))
     kept = group(keyed, id_col="__vertex", text_col=text_col, **options).filter("kept").select(F.col("doc_id").alias("__id")).distinct()
     first = F.row_number().over(Window.partitionBy("__vertex").orderBy(F.xxhash64(text_col)))
-    joined = keyed.join(kept, F.col("__vertex") == F.col("__id"), "left_semi").withColumn("__place", first)
+    joined = keyed.join(sorted_merge(kept), F.col("__vertex") == F.col("__id"), "left_semi").withColumn("__place", first)
     return joined.filter("__place = 1").select(*[F.col(f"`{c}`") for c in documents.columns])
