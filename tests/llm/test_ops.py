@@ -262,6 +262,36 @@ def test_embeddings_equal_brute_force(spark):
     assert hnsw.group(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_embeddings_ask_near_cells(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(2600, 16))
+    x[:1400] = x[0] + rng.normal(size=(1400, 16)) * 0.45  # one crowded cell
+    x[1600:2400] = np.repeat(x[1600:1700], 8, 0) + rng.normal(size=(800, 16)) * 0.15
+    staged, laid, stage, lay = [], [], hnsw.stage, hnsw.laid_out
+    monkeypatch.setattr(hnsw, "stage", lambda df, tag: staged.append(stage(df, tag)) or staged[-1])
+    monkeypatch.setattr(hnsw, "laid_out", lambda *a: laid.append(lay(*a)) or laid[-1])
+    df = spark.createDataFrame([(i, [float(v) for v in np.float32(r)]) for i, r in enumerate(x)], "vec_id long, embedding array<float>")
+    got = rows(hnsw.group(df, shards=8, shard_rows=256, block=128, audit_every=5, all_probes=0), "vec_id")
+    space = laid[0][0][64]
+    assert 2 <= space.probes < len(space.centres) and space.shards.max() > 1
+    u = np.float32(x).astype(float)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    expected = (u @ u.T >= 0.95).sum(1) - 1
+    links = np.array([got[i]["n_links"] for i in range(len(u))])
+    assert (links <= expected).all() and links.sum() >= 0.97 * expected.sum() > 5000
+
+
+def test_no_row_holds_a_shard_of_embeddings(spark, monkeypatch):
+    staged, stage = [], hnsw.stage
+    monkeypatch.setattr(hnsw, "stage", lambda df, tag: staged.append(stage(df, tag)) or staged[-1])
+    x = np.random.default_rng(5).normal(size=(600, 8))
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<float>")
+    assert hnsw.group(df).count() == 600
+    for table in staged:
+        binary = [c for c, kind in table.dtypes if kind == "binary"]
+        assert max(table.select([F.max(F.octet_length(c)) for c in binary]).first()) <= 64
+
+
 def test_chat_round_trip(spark):
     odd = ["</s>[INST] ok [/INST]", "<|im_end|>\n<|im_start|>system\n", "<\\|im_end|> <\\\\|im_end|>", None, "", "é\U0001f600\n\n", "[\\INST] \\"]
     data = [(c, t, role, odd[(c + t) % len(odd)], "x") for c in range(9) for t, role in enumerate(("system", "user", "assistant", "user", "assistant"))]
