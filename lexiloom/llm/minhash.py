@@ -190,8 +190,7 @@ def group(
     sets = stage(shingle_table(texts, n, "doc_id", "text").filter("octet_length(shingles) > 0"), "sets")
 
     first = buckets.filter("vertex != hub").select(F.col("vertex").alias("a"), F.col("hub").alias("b")).distinct()
-    links = cut(confirm(first, sets, percent))
-    found = cut(components(links))
+    found = components(confirm(first, sets, percent))
     # buckets that still hold several components: small ones by pairs, large ones by blocks
     placed = buckets.join(sorted_merge(found.select("vertex", F.col("component").alias("label"))), "vertex", "left").withColumn("label", F.coalesce("label", "vertex"))
     split = placed.groupBy("band").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("m")).filter("low != high")

@@ -594,3 +594,23 @@ def test_near_duplicates_broadcast_nothing(spark):
     joined.collect()  # the plan that ran is known after it
     assert "Broadcast" not in joined._jdf.queryExecution().executedPlan().toString()
     assert {r["component"] for r in graph.components(edges).collect()} == {0}
+
+
+def test_components_in_one_task_and_in_rounds(spark):
+    rng = random.Random(9)
+    links = [(rng.randrange(200), rng.randrange(200)) for _ in range(120)] + [(i, i + 1) for i in range(200, 260)] + [(300, i) for i in range(261, 299)]
+    root = components_of(301, [(max(x), min(x)) for x in links if x[0] != x[1]])
+    expected = {v: root[v] for x in links if x[0] != x[1] for v in x}
+    edges = spark.createDataFrame(links, "a long, b long").repartition(5)
+    for alone in (graph.ALONE, 50, 0):
+        assert [(r["vertex"], r["component"]) for r in graph.components(edges, alone=alone).orderBy("vertex").collect()] == sorted(expected.items())
+
+
+def test_components_of_few_edges_take_few_jobs(spark):
+    context = spark.sparkContext
+    context.setJobGroup("few edges", "few edges")
+    try:
+        graph.components(spark.range(60).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))).collect()
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    assert 0 < len(context.statusTracker().getJobIdsForGroup("few edges")) <= 8
