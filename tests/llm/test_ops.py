@@ -614,3 +614,18 @@ def test_components_of_few_edges_take_few_jobs(spark):
     finally:
         context.setLocalProperty("spark.jobGroup.id", None)
     assert 0 < len(context.statusTracker().getJobIdsForGroup("few edges")) <= 8
+
+
+def test_pipeline_drops_near_duplicates_in_few_jobs(spark):
+    import corpus_pipeline
+
+    base = [f"w{i}" for i in range(60)]
+    docs = documents(spark, [" ".join([*base[:k], f"x{k}", *base[k + 1 :]]) for k in range(30)] + ["a b c d e f"])
+    context = spark.sparkContext
+    context.setJobGroup("near duplicates", "near duplicates")
+    try:
+        got = corpus_pipeline.near_duplicates(spark, docs, "").collect()
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    jobs = len(context.statusTracker().getJobIdsForGroup("near duplicates"))
+    assert sorted(r["doc_id"] for r in got) == [0, 30] and 0 < jobs <= 80, jobs
